@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import released, written
 from .textkernel import HASH_BITS, HASH_MASK, Words, mix, shingle_keys, slices
 
 BITS = 1024  # of a token bitmap
@@ -167,6 +167,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     unless nothing else is linked.  Shingles are compared by 52-bit hashes and
     sets named by 64-bit ones.  Other columns of ``docs`` are ignored.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("key", F.coalesce("id", F.xxhash64("text")))  # rows without an id are found by their text
     levels = count_sketch(docs, shingle_words, sketch_bits)
@@ -186,25 +187,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 ends = np.where(sizes > 0, first, 0)
                 ends = np.maximum.accumulate(ends) if len(ends) else ends
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(hashes[order][take].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, refs, pa.array(sizes.astype(np.int64)), pa.array(names), tokens], ["id", "key", "n", "node", "tokens"])
+                maps = pa.array(_bitmaps(sizes, at, hashes), pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, refs, pa.array(sizes.astype(np.int64)), pa.array(names), maps, tokens], ["id", "key", "n", "node", "bitmap", "tokens"])
 
-    sets = written(docs.mapInArrow(prefixes, "id long, key long, n long, node long, tokens array<long>"), "jaccard-sets")
-    deal = written(sets.filter("n > 0").select("node", "n", F.explode("tokens").alias("token")), "jaccard-prefix")
+    sets = written(docs.mapInArrow(prefixes, "id long, key long, n long, node long, bitmap binary, tokens array<long>"), "jaccard-sets")
+    released(spark)
+    deal = sets.filter("n > 0").select("node", "n", F.explode("tokens").alias("token"))
     met = written(deal.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("token"), "jaccard-met")
     deal = written(deal.join(met, "token").distinct(), "jaccard-buckets")
+    released(spark, met)
+    nodes = deal.select("node").distinct()
+    nodes = sets.join(nodes, "node").groupBy("node").agg(F.first("n").alias("n"), F.min("key").alias("key"), F.first("bitmap").alias("bitmap"))
+    nodes = written(nodes, "jaccard-nodes")
+    released(spark)
 
     band = F.floor(F.log("n") / math.log(den / num)).alias("band")
     banded = deal.select("*", band)
-    star = written(banded.groupBy("token", "band").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("na")), "jaccard-stars")
-    near = (F.col("n") * den >= F.col("na") * num) & (F.col("na") * den >= F.col("n") * num)
-    stars = banded.join(star, ["token", "band"]).filter((F.col("node") != F.col("a")) & near).select("a", F.col("node").alias("b")).distinct()
-    stars = written(stars, "jaccard-pairs")
-
-    # the sets of all nodes that met another one, from one row each
-    wanted = written(deal.select("node").distinct().join(sets.groupBy("node").agg(F.min("key").alias("key")), "node"), "jaccard-wanted")
-    full = _whole_sets(docs, wanted, shingle_words)
+    star = written(banded.groupBy("token", "band").agg(F.min("node").alias("a")), "jaccard-stars")
+    stars = banded.join(star, ["token", "band"]).filter(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
+    stars = written(_possible(stars, nodes, num, den), "jaccard-pairs")
+    released(spark, star)
+    full = _whole_sets(docs, _wanted(stars, nodes), shingle_words)
 
     links = written(_verified(stars, full, num, den), "jaccard-links")
+    released(spark, full)
     known = written(components(links), "jaccard-known")
 
     # buckets that still hold nodes of different components
@@ -215,9 +221,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs_of = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("p"), F.greatest(own, k).alias("q")))
     rest = rest.select("token", "node", "n", "comp", own.alias("own"), F.explode(pairs_of).alias("pair"))
-    rest = rest.join(full.select("node", "bitmap"), "node")
+    rest = rest.join(nodes.select("node", "bitmap"), "node")
     rest = rest.select("token", F.col("pair.p").alias("p"), F.col("pair.q").alias("q"), "own", "n", "node", "comp", "bitmap")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 12)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12)
     rest = rest.repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q", "own", "n", "node")
 
     def trees(batches: Iterator[pa.RecordBatch]):
@@ -236,8 +242,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     more = rest.mapInArrow(trees, "a long, b long").distinct()
     more = written(more.join(stars, ["a", "b"], "left_anti"), "jaccard-more")
+    released(spark, deal, marked, mixed, stars)
+    full = _whole_sets(docs, _wanted(more, nodes), shingle_words)
     links = links.unionByName(_verified(more, full, num, den))
     comp = written(components(written(links, "jaccard-all")), "jaccard-comp")
+    released(spark, full, nodes)
 
     # smallest id of each component; nodes without links only matter if several rows share them
     copies = sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("rows"))
@@ -291,8 +300,30 @@ def _part(n, slack, bitmaps, comp, first, second, num, den):
     return x + b, y + b
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sizes and bitmaps leave the similarity possible."""
+
+    def check(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("p", "q"))
+            slack = np.minimum(n - np.bitwise_count(p).sum(axis=1, dtype=np.int64), m - np.bitwise_count(q).sum(axis=1, dtype=np.int64))
+            shared = np.minimum(np.bitwise_count(p & q).sum(axis=1, dtype=np.int64) + slack, np.minimum(n, m))
+            yield batch.filter(pa.array(shared * (num + den) >= num * (n + m))).select(["a", "b"])
+
+    left = pairs.join(nodes.select(F.col("node").alias("b"), "n", F.col("bitmap").alias("p")), "b")
+    left = left.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("bitmap").alias("q")), "a")
+    return left.filter((F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)).mapInArrow(check, "a long, b long")
+
+
+def _wanted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, key) of the nodes in ``pairs``; the key names a document to read."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return written(nodes.select("node", "key").join(ends, "node", "left_semi"), "jaccard-wanted")
+
+
 def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, hashes, bitmap) of the wanted nodes, one document's text read for each.
+    """(node, hashes) of the wanted nodes, one document's text read for each.
 
     A fixed-size bit array of the wanted ids spares the other texts the hashing;
     the join after it is what decides.
@@ -317,15 +348,14 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                         batch.column("key").slice(i, len(sizes)).take(pa.array(keep)),
                         pa.array(_fingerprints(sizes, at, hashes)[keep]),
                         pa.array([hashes[at[k] : at[k + 1]].tobytes() for k in keep], pa.binary()),
-                        pa.array([b for k, b in enumerate(_bitmaps(sizes, at, hashes)) if sizes[k]], pa.binary()),
                     ],
-                    ["key", "node", "hashes", "bitmap"],
+                    ["key", "node", "hashes"],
                 )
 
-    found = docs.select("key", "text", spot.alias("spot")).mapInArrow(emit, "key long, node long, hashes binary, bitmap binary")
+    found = docs.select("key", "text", spot.alias("spot")).mapInArrow(emit, "key long, node long, hashes binary")
     # rows that share a key and a text would give a node twice
     full = found.join(wanted, ["key", "node"], "left_semi").dropDuplicates(["node"])
-    return written(full.select("node", "hashes", "bitmap"), "jaccard-full")
+    return written(full.select("node", "hashes"), "jaccard-full")
 
 
 def _verified(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,3 +48,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id="doc_id"):
     """The rows whose labels no model may see."""
     return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+
+
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and no later step reads.
+
+    Shuffle files of jobs that are over go when the driver's collectors find
+    their plans unreachable, so both are asked to look.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
