@@ -129,7 +129,7 @@ def _score(tokens: Tokens, model: dict) -> np.ndarray:
     return got
 
 
-def fit_crf(texts: list[str], toxic: np.ndarray, steps: int = 100, significance: float = 18.0, ridge: float = 0.05, clean_share: float = 0.04) -> dict:
+def fit_crf(texts: list[str], toxic: np.ndarray, steps: int = 100, significance: float = 14.0, ridge: float = 0.05, clean_share: float = 0.04) -> dict:
     """Weights, transitions and calibration from labelled texts.
 
     Near copies of a text count once in the token labels' statistics.  With no
@@ -225,12 +225,19 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic function from evidence to chance, by Newton's method."""
     z = np.stack([x, np.ones(len(x))], axis=1)
     target = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
+
+    def loss(w):
+        u = z @ w
+        return (np.logaddexp(0, u) - target * u).sum() + 5e-4 * w[0] ** 2
+
     w = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         g = z.T @ (p - target) + np.array([1e-3, 0]) * w
-        hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag([1e-3, 1e-6])
-        w = w - np.clip(np.linalg.solve(hess, g), -2, 2)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag([1e-3, 1e-6]), g)
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
     return float(w[0]), float(w[1])
 
 
