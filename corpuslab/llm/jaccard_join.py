@@ -38,7 +38,7 @@ from .components import components
 from .shared import released, written
 from .textkernel import HASH_BITS, HASH_MASK, Words, mix, shingle_keys, slices
 
-BITS = 1024  # of a token bitmap
+NARROW, WIDE = 256, 1 << 14  # bits of a token bitmap
 BLOCK = 1024  # members of one block of a large bucket
 FAN = 8  # children of a tree's node
 SKETCH_PARTS = 64
@@ -60,11 +60,24 @@ def _fingerprints(sizes, at, hashes) -> np.ndarray:
 
 
 def _bitmaps(sizes, at, hashes) -> list[bytes]:
-    out = np.zeros((len(sizes), BITS // 8), np.uint8)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    bit = (hashes % np.uint64(BITS)).astype(np.int64)
-    np.bitwise_or.at(out, (doc, bit >> 3), (1 << (bit & 7)).astype(np.uint8))
-    return [x.tobytes() for x in out]
+    """A token bitmap per set, of a power of two bits, at least half as many as tokens."""
+    widths = np.clip(2 ** np.ceil(np.log2(np.maximum(sizes, 2) / 2)).astype(np.int64), NARROW, WIDE)
+    ends = np.cumsum(widths // 8)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    bit = (hashes & np.repeat(widths - 1, sizes).astype(np.uint64)).astype(np.int64)
+    np.bitwise_or.at(out, np.repeat(ends - widths // 8, sizes) + (bit >> 3), (1 << (bit & 7)).astype(np.uint8))
+    raw = out.tobytes()
+    return [raw[e - w : e] for e, w in zip(ends.tolist(), (widths // 8).tolist())]
+
+
+def _folded(bitmaps: list[bytes], widths: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps as rows of ``width`` bits; wider ones are folded by OR."""
+    out = np.zeros((len(bitmaps), width // 64), np.uint64)
+    for w in np.unique(widths):
+        rows = np.flatnonzero(widths == w)
+        m = np.frombuffer(b"".join([bitmaps[k] for k in rows]), np.uint64).reshape(len(rows), -1, width // 64)
+        out[rows] = np.bitwise_or.reduce(m, axis=1)
+    return out
 
 
 def count_sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
@@ -265,39 +278,49 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _tree_batch(t: pa.Table, num: int, den: int):
     token, p, q, own, n, node, comp = (t.column(c).to_numpy() for c in ("token", "p", "q", "own", "n", "node", "comp"))
-    bitmaps = np.frombuffer(b"".join(t.column("bitmap").to_pylist()), np.uint64).reshape(len(t), BITS // 64)
-    slack = n - np.bitwise_count(bitmaps).sum(axis=1, dtype=np.int64)
+    raw = t.column("bitmap").to_pylist()
+    widths = np.array([8 * len(x) for x in raw])
     key = np.stack([token, p, q])
     groups = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [len(t)]])
     comp = np.unique(comp, return_inverse=True)[1]
-    first, second = [], []
-    for b, e in zip(groups[:-1], groups[1:]):
+    parts = []  # ranges of rows to hold against each other, equal ones against themselves
+    for b, e in zip(groups[:-1].tolist(), groups[1:].tolist()):
         if p[b] == q[b]:
-            first.append((b, e)), second.append((b, e))
+            parts.append(((b, e), (b, e)))
         else:
             m = b + int(np.searchsorted(own[b:e], q[b]))
             if b < m < e:
-                first.append((b, m)), second.append((m, e))
-    if not first:
-        return
-    # trees of a few thousand members at a time bound the pairs in memory
-    size, start = 0, 0
-    for k in range(len(first)):
-        size += max(second[k][1], first[k][1]) - first[k][0]
-        if size >= 4096 or k == len(first) - 1:
-            x, y = tree_pairs(n, slack, bitmaps, comp, first[start : k + 1], second[start : k + 1], num, den) if start == 0 and k == len(first) - 1 else _part(n, slack, bitmaps, comp, first[start : k + 1], second[start : k + 1], num, den)
-            a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+                parts.append(((b, m), (m, e)))
+    start = 0
+    while start < len(parts):
+        stop, size = start, 0
+        while stop < len(parts) and (size < 4096 or stop == start):
+            size += parts[stop][1][1] - parts[stop][0][0]
+            stop += 1
+        some, start = parts[start:stop], stop
+        lo, hi = some[0][0][0], some[-1][1][1]
+        # sizes of a pair differ too little for their bitmaps to be more than one step apart
+        for width in np.unique(widths[lo:hi]).tolist():
+            rows = lo + np.flatnonzero((widths[lo:hi] == width) | (widths[lo:hi] == 2 * width))
+            small = np.concatenate([[0], np.cumsum(widths[rows] == width)])
+            first, second = [], []
+            for r, s in some:
+                (b, e), (c, f) = np.searchsorted(rows, r), np.searchsorted(rows, s)
+                m, k = b + small[e] - small[b], c + small[f] - small[c]  # wider ones follow, as rows ascend by size
+                pairs = [((b, m), (c, k)), ((b, m), (k, f))] + ([((m, e), (c, k))] if r != s else [])
+                for x, y in pairs:
+                    if x[0] < x[1] and y[0] < y[1]:
+                        first.append(tuple(map(int, x))), second.append(tuple(map(int, y)))
+            if not first:
+                continue
+            bitmaps = _folded([raw[k] for k in rows], widths[rows], width)
+            slack = n[rows] - np.bitwise_count(bitmaps).sum(axis=1, dtype=np.int64)
+            x, y = tree_pairs(n[rows], slack, bitmaps, comp[rows], first, second, num, den)
+            x, y = rows[x], rows[y]
             real = comp[x] != comp[y]
-            pairs = np.unique(np.stack([a[real], b[real]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-            size, start = 0, k + 1
-
-
-def _part(n, slack, bitmaps, comp, first, second, num, den):
-    b = first[0][0]
-    e = max(second[-1][1], first[-1][1])
-    x, y = tree_pairs(n[b:e], slack[b:e], bitmaps[b:e], comp[b:e], [(p - b, q - b) for p, q in first], [(p - b, q - b) for p, q in second], num, den)
-    return x + b, y + b
+            a, b = np.minimum(node[x], node[y])[real], np.maximum(node[x], node[y])[real]
+            found = np.unique(np.stack([a, b]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -306,10 +329,16 @@ def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
     def check(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("p", "q"))
-            slack = np.minimum(n - np.bitwise_count(p).sum(axis=1, dtype=np.int64), m - np.bitwise_count(q).sum(axis=1, dtype=np.int64))
-            shared = np.minimum(np.bitwise_count(p & q).sum(axis=1, dtype=np.int64) + slack, np.minimum(n, m))
-            yield batch.filter(pa.array(shared * (num + den) >= num * (n + m))).select(["a", "b"])
+            p, q = batch.column("p").to_pylist(), batch.column("q").to_pylist()
+            widths = np.array([(len(x) * 8, len(y) * 8) for x, y in zip(p, q)], np.int64).reshape(-1, 2)
+            ok = np.zeros(len(batch), bool)
+            for width in np.unique(widths.min(axis=1)).tolist():
+                rows = np.flatnonzero(widths.min(axis=1) == width)
+                x, y = _folded([p[k] for k in rows], widths[rows, 0], width), _folded([q[k] for k in rows], widths[rows, 1], width)
+                slack = np.minimum(n[rows] - np.bitwise_count(x).sum(axis=1, dtype=np.int64), m[rows] - np.bitwise_count(y).sum(axis=1, dtype=np.int64))
+                shared = np.minimum(np.bitwise_count(x & y).sum(axis=1, dtype=np.int64) + slack, np.minimum(n[rows], m[rows]))
+                ok[rows] = shared * (num + den) >= num * (n[rows] + m[rows])
+            yield batch.filter(pa.array(ok)).select(["a", "b"])
 
     left = pairs.join(nodes.select(F.col("node").alias("b"), "n", F.col("bitmap").alias("p")), "b")
     left = left.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("bitmap").alias("q")), "a")

@@ -12,7 +12,9 @@ from .packing import pack_documents
 from .quality import quality_scores
 from .repetition import repetition_rules
 from .shared import table
+from .topk import quantised, top_k
 from .toxicity import toxicity_scores
+from .warc import read_records, write_bundles
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +57,25 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op3_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", quantised(F.col("embedding")).alias("vector"))
+    return top_k(vectors.filter("vec_id % 20 = 0"), vectors, k=20)
+
+
+OP3_SQL = r"""
+WITH v AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle_words=3, num=90, den=100)
 
@@ -72,6 +93,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = write_bundles(table(spark, sf_dir, "pages"), least_bytes=0)
+    return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages
+), b AS (
+  SELECT *, CAST(unhex(x) AS BIT)::VARCHAR AS bits, max(page_id) OVER (PARTITION BY x) AS keeper FROM p
+)
+SELECT page_id, octet_length(encode(h)) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT
+      + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT AS BIGINT), 1) for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to
+FROM b
+"""
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents")))
     return decoded.select(
@@ -85,12 +127,16 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_maxscore_topk": op3_maxscore_topk,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_suffix_repetition_rules": op5_suffix_repetition_rules,
+    "op7_warc_bundles": op7_warc_bundles,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op6_quality_classifier": op6_quality_classifier,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": OP2_SQL,
+    "op3_maxscore_topk": OP3_SQL,
+    "op7_warc_bundles": OP7_SQL,
 }
