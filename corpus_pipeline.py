@@ -1,15 +1,70 @@
-"""A training-data pipeline in stages, each one of the operators at work."""
+"""A training-data pipeline in stages, each one of the operators at work.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that its
+predecessor kept.  All but the last return the columns of documents; the last
+one returns the places of the pieces in packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuslab.llm.jaccard_join import jaccard_components
+from corpuslab.llm.packing import pack_documents
+from corpuslab.llm.quality import quality_scores
+from corpuslab.llm.shared import table, written
+from corpuslab.llm.toxicity import toxicity_scores
+
+
+def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ids are among ``ids``; null ids stay apart from all.
+
+    The ids are written first, so that the join meets plain shuffles, whose
+    skewed partitions Spark can split.
+    """
+    return docs.join(written(ids.select("doc_id").distinct(), "pipeline-kept"), "doc_id", "left_semi")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts to be good."""
+    scored = quality_scores(docs, table(spark, sf_dir, "labels"))
+    return _kept(docs, scored.filter("predicted = 1"))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted to be toxic."""
+    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"))
+    return _kept(docs, scored.filter("predicted = 0"))
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the smallest id."""
+    groups = jaccard_components(docs, shingle_words=5, num=4, den=5)
+    return _kept(docs, groups.filter(F.col("doc_id") == F.col("component_id"))).dropDuplicates(["doc_id"])
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all pieces in sequences of 1024 tokens."""
+    return pack_documents(docs, size=1024, end_id=2)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("n-gram Jaccard join", jaccard_stage),
+    ("best-fit packing", packing_stage),
+]
 
-STAGES: list = []
+# classifiers and packing are not to be had in SQL
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over the documents; each one's rows are written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, "pipeline-stage")
     return docs

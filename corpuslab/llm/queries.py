@@ -9,6 +9,7 @@ from .bpe import bpe_decode, bpe_encode
 from .chat import format_chat, loss_text, read_back
 from .jaccard_join import jaccard_components
 from .packing import pack_documents
+from .pseudo_likelihood import pseudo_likelihood
 from .quality import quality_scores
 from .repetition import repetition_rules
 from .shared import table
@@ -114,6 +115,10 @@ FROM b
 """
 
 
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents")))
     return decoded.select(
@@ -131,6 +136,7 @@ QUERIES = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_suffix_repetition_rules": op5_suffix_repetition_rules,
     "op7_warc_bundles": op7_warc_bundles,
+    "op8_pseudo_likelihood": op8_pseudo_likelihood,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op6_quality_classifier": op6_quality_classifier,
     "op10_toxicity": op10_toxicity,
