@@ -1,4 +1,11 @@
 """All registered queries of the engine and the SQL they are held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from importlib import import_module
+
+from .base import ORACLE_SQL, QUERIES
+
+FAMILIES = ("filters", "joins")
+for family in FAMILIES:
+    import_module(f"{__package__}.{family}")
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
