@@ -38,7 +38,7 @@ from .components import components
 from .shared import released, written
 from .textkernel import HASH_BITS, HASH_MASK, Words, mix, shingle_keys, slices
 
-NARROW, WIDE = 256, 1 << 14  # bits of a token bitmap
+NARROW, WIDE = 128, 1 << 14  # bits of a token bitmap
 BLOCK = 1024  # members of one block of a large bucket
 FAN = 8  # children of a tree's node
 SKETCH_PARTS = 64
@@ -60,8 +60,8 @@ def _fingerprints(sizes, at, hashes) -> np.ndarray:
 
 
 def _bitmaps(sizes, at, hashes) -> list[bytes]:
-    """A token bitmap per set, of a power of two bits, at least half as many as tokens."""
-    widths = np.clip(2 ** np.ceil(np.log2(np.maximum(sizes, 2) / 2)).astype(np.int64), NARROW, WIDE)
+    """A token bitmap per set, of a power of two bits, at least twice as many as tokens if that is not too wide."""
+    widths = np.clip(2 ** np.ceil(np.log2(np.maximum(sizes, 2) * 2)).astype(np.int64), NARROW, WIDE)
     ends = np.cumsum(widths // 8)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     bit = (hashes & np.repeat(widths - 1, sizes).astype(np.uint64)).astype(np.int64)
@@ -88,14 +88,14 @@ def count_sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
         for batch in batches:
             for _, _, _, hashes in _sets(batch, size):
                 counts += np.bincount((hashes & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
-        parts = np.minimum(counts, 0xFFFFFFFF).astype("<u4").reshape(SKETCH_PARTS, -1)
+        parts = np.minimum(counts, 0xFFFF).astype("<u2").reshape(SKETCH_PARTS, -1)
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(SKETCH_PARTS), pa.int32()), "counts": pa.array([x.tobytes() for x in parts], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
-                got = np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64)
+                got = np.frombuffer(counts.as_buffer(), "<u2").astype(np.int64)
                 sums[part] = sums[part] + got if part in sums else got
         if sums:
             yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "counts": pa.array([np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes() for x in sums.values()], pa.binary())})
@@ -106,7 +106,7 @@ def count_sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
     for part, counts in rows.collect():  # SKETCH_PARTS rows, 2 ** bits counters in all
         total[part] += np.frombuffer(counts, "<u4")
     total = total.ravel() / max(total.mean(), 1e-9)
-    return np.clip(np.ceil(4 * np.log2(np.maximum(total, 1) / 2)), 0, 255).astype(np.uint8)
+    return np.clip(np.ceil(8 * np.log2(np.maximum(total, 1))), 0, 255).astype(np.uint8)
 
 
 def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -168,7 +168,7 @@ def tree_pairs(sizes, slack, bitmaps, comps, first, second, num: int, den: int):
         x, y, same = cx[ok], cy[ok], own[ok] & (cx[ok] == cy[ok])
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, num: int = 4, den: int = 5, sketch_bits: int = 18) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, num: int = 4, den: int = 5, sketch_bits: int = 20) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_shingles`` and ``component_id``.
 
     Two texts link when |A n B| / |A u B| >= num / den over their sets of
