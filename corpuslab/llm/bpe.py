@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .textkernel import Words, slices
 
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
-CACHE = 300_000  # fragments whose ids a task keeps
+CACHE = 100_000  # fragments whose ids a task keeps
 
 # fixed values: code points with the Unicode property White_Space
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -57,11 +57,12 @@ class ByteBpe:
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         vocab = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t.encode() not in self.special or all(c in alphabet for c in t) and i not in self.special.values()}
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.ranks = {}
-        for rank, (a, b) in enumerate(merges):
-            a, b = (bytes(alphabet[c] for c in x) for x in (a, b))
-            self.ranks.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-        self.vocab, self.bytes_of = vocab, [vocab.get(bytes([b]), -1) for b in range(256)]
+        merges = [tuple(bytes(alphabet[c] for c in x) for x in m) for m in merges]
+        del spec
+        self.bytes_of = [vocab.get(bytes([b]), -1) for b in range(256)]
+        self._fast = self._library(vocab, merges)
+        self._parts = None if self._fast else (vocab, merges)
+        self._ranks = None
         self.forced = np.ones((256, 256), bool)
         for token in vocab:
             for a, b in zip(token, token[1:]):
@@ -74,28 +75,32 @@ class ByteBpe:
         self.token_ends = np.cumsum([len(t) for t in table])
         self.classes = _classes()
         self.cache: dict[int, bytes] = {}
-        self._fast = self._library(vocab, merges, alphabet)
 
-    def _library(self, vocab, merges, alphabet):
+    def _library(self, vocab, merges):
         """A merge loop in native code, where ids rank tokens as the merges do."""
         try:
             import tiktoken
         except ImportError:
             return None
-        order = [vocab[b"".join(bytes(alphabet[c] for c in x) for x in m)] for m in merges]
+        order = [vocab[a + b] for a, b in merges]
         if order != sorted(order) or min(order, default=256) < 256 or sorted(self.bytes_of) != list(range(256)):
             return None
         return tiktoken.Encoding("fragments", pat_str=r"[\s\S]+", mergeable_ranks=vocab, special_tokens={})._core_bpe
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one fragment: the pair of lowest rank merges first, leftmost on ties."""
+        if self._ranks is None:
+            vocab, merges = self._parts
+            self._ranks = {}
+            for rank, (a, b) in enumerate(merges):
+                self._ranks.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         ids = [self.bytes_of[b] for b in piece]
         while len(ids) > 1:
-            best = min(((self.ranks[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in self.ranks), default=None)
+            best = min(((self._ranks[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in self._ranks), default=None)
             if best is None:
                 break
             k = best[1]
-            ids[k : k + 2] = [self.ranks[ids[k], ids[k + 1]][1]]
+            ids[k : k + 2] = [self._ranks[ids[k], ids[k + 1]][1]]
         return ids
 
     def _fragment(self, piece: bytes) -> bytes:

@@ -21,8 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import bpe_encode
+from .bpe import default_path, tokenizer
 from .shared import written
+from .textkernel import slices
 
 
 def patterns(histogram: np.ndarray) -> np.ndarray:
@@ -160,31 +161,33 @@ def pack_documents(docs: DataFrame, size: int = 1024, end_id: int = 2, tokenizer
     are gapless from 0.  Rows with equal ids or texts are packed each on its own;
     a null id is kept; other columns are ignored; no rows give none.
     """
-    encoded = bpe_encode(docs, tokenizer_path, id_col, text_col)
-    kind = dict(encoded.dtypes)[id_col]
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = source.dtypes[0][1]
+    path = tokenizer_path or default_path()
     extra = ", ids binary" if keep_ids else ""
     names = ["id", "piece", "start", "length", "ids_crc32", "part", "rank", *["ids"] * keep_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]):
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64).tolist()
-        tail = np.array([end_id], "<u4").tobytes()
+        tail, bpe = np.array([end_id], "<u4").tobytes(), tokenizer(path)
         for batch in batches:
-            rows = [[] for _ in names]
-            for k, ids in enumerate(batch.column(1).to_pylist()):
-                ids = (ids or b"") + tail
-                total = len(ids) // 4
-                edges = [0, *range(total % size or size, total + 1, size)]
-                for piece, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-                    own = ids[4 * a : 4 * b]
-                    row = (k, piece, a, b - a, zlib.crc32(own), part, seen[b - a], own)
-                    seen[b - a] += 1
-                    for column, value in zip(rows, row):
-                        column.append(value)
-            arrays = [batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32())]
-            arrays += [pa.array(c, pa.int64()) for c in rows[2:7]] + [pa.array(c, pa.binary()) for c in rows[7:]]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    pieces = written(encoded.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long, part long, rank long{extra}"), "packing-pieces")
+            for i, j, data, offs in slices(batch.column("text")):
+                rows = [[] for _ in names]
+                for k, ids in enumerate(bpe.encode_slice(data, offs)):
+                    ids += tail
+                    total = len(ids) // 4
+                    edges = [0, *range(total % size or size, total + 1, size)]
+                    for piece, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+                        own = ids[4 * a : 4 * b]
+                        row = (k, piece, a, b - a, zlib.crc32(own), part, seen[b - a], own)
+                        seen[b - a] += 1
+                        for column, value in zip(rows, row):
+                            column.append(value)
+                arrays = [batch.column("id").slice(i, j - i).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32())]
+                arrays += [pa.array(c, pa.int64()) for c in rows[2:7]] + [pa.array(c, pa.binary()) for c in rows[7:]]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    pieces = written(source.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long, part long, rank long{extra}"), "packing-pieces")
     counts = written(pieces.filter(F.col("length") < size).groupBy("part", "length").agg(F.count("*").alias("n")), "packing-counts")
     histogram = np.zeros(size + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # fewer than ``size`` rows
