@@ -129,6 +129,28 @@ def _score(tokens: Tokens, model: dict) -> np.ndarray:
     return got
 
 
+def _fresh(w: Words, seen: set[int]) -> np.ndarray:
+    """Which texts of a slice are no near copies of earlier ones, by four minima over their five-word runs."""
+    h = w.hashes()
+    fresh = np.zeros(w.n_docs, bool)
+    for d in range(w.n_docs):
+        own = h[w.first[d] : w.first[d + 1]]
+        if not len(own):
+            continue
+        run = own if len(own) < 5 else own[:-4] + own[1:-3] * np.uint64(3) + own[2:-2] * np.uint64(5) + own[3:-1] * np.uint64(7) + own[4:] * np.uint64(11)
+        marks = {int(mix(run + np.uint64(k)).min()) for k in range(4)}
+        fresh[d] = not marks & seen
+        seen |= marks
+    return fresh
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    joined, n = np.concatenate(keys), np.concatenate(counts)
+    out, place = np.unique(joined, return_inverse=True)
+    return out, np.bincount(place, n, len(out)).astype(np.int64)
+
+
 def fit_crf(texts: list[str], toxic: np.ndarray, steps: int = 100, significance: float = 14.0, ridge: float = 0.05, clean_share: float = 0.04) -> dict:
     """Weights, transitions and calibration from labelled texts.
 
@@ -137,39 +159,34 @@ def fit_crf(texts: list[str], toxic: np.ndarray, steps: int = 100, significance:
     """
     none = np.zeros(0, np.uint64)
     model = {"weights": [Weights(none, np.zeros(0))] * 4, "bias": -8.0, "trans": np.zeros((2, 2)), "first": np.zeros(2), "slope": 1.0, "offset": -8.0}
-    parts, seen = [], set()
-    held = [[[] for _ in range(4)] for _ in range(2)]  # by label and kind of feature: once per fresh document
+    column = pa.array(texts, pa.large_string())
+
+    def each():
+        """Slices of the texts, made anew for each walk: tokens take far more room than texts."""
+        for i, j, data, offs in slices(column):
+            yield toxic[i:j], Tokens(data, offs)
+
+    seen: set[int] = set()
+    held = [[([none], [np.zeros(0, np.int64)]) for _ in range(4)] for _ in range(2)]  # by label and kind: features, documents
     size = np.zeros(2)
-    for i, j, data, offs in slices(pa.array(texts, pa.large_string())):
-        t = Tokens(data, offs)
-        w = t.words
-        h = w.hashes()
-        fresh = np.zeros(w.n_docs, bool)
-        for d in range(w.n_docs):
-            own = h[w.first[d] : w.first[d + 1]]
-            if not len(own):
-                continue
-            run = own if len(own) < 5 else own[:-4] + own[1:-3] * np.uint64(3) + own[2:-2] * np.uint64(5) + own[3:-1] * np.uint64(7) + own[4:] * np.uint64(11)
-            marks = {int(mix(run + np.uint64(k)).min()) for k in range(4)}
-            fresh[d] = not marks & seen
-            seen |= marks
-        parts.append((i, t))
+    for own_labels, t in each():
+        fresh = _fresh(t.words, seen)
         for y in (0, 1):
-            docs = fresh & (toxic[i:j] == y)
+            docs = fresh & (own_labels == y)
             size[y] += docs.sum()
-            use = docs[w.doc]
+            use = docs[t.words.doc]
             for k, f in enumerate(t.features):
-                o = np.lexsort((f[use], w.doc[use]))
-                f, d = f[use][o], w.doc[use][o]
-                if len(f):
-                    held[y][k].append(f[np.concatenate([[True], (f[1:] != f[:-1]) | (d[1:] != d[:-1])])])
+                o = np.lexsort((t.words.doc[use], f[use]))
+                f, d = f[use][o], t.words.doc[use][o]
+                once = np.concatenate([[True], (f[1:] != f[:-1]) | (d[1:] != d[:-1])])[: len(f)]
+                keys, n = np.unique(f[once], return_counts=True)
+                held[y][k][0].append(keys), held[y][k][1].append(n)
     if not size.all():
         return model
     rate = size[1] / size.sum()
     marked = []
     for k in range(4):
-        keys, bad = np.unique(np.concatenate(held[1][k]) if held[1][k] else none, return_counts=True)
-        others, good = np.unique(np.concatenate(held[0][k]) if held[0][k] else none, return_counts=True)
+        (others, good), (keys, bad) = (_summed(*held[y][k]) for y in (0, 1))
         held[0][k] = held[1][k] = None
         place = np.minimum(np.searchsorted(others, keys), max(len(others) - 1, 0))
         n = bad + np.where(others[place] == keys, good[place], 0) if len(others) else bad
@@ -177,22 +194,25 @@ def fit_crf(texts: list[str], toxic: np.ndarray, steps: int = 100, significance:
         gain = n * (q * np.log(q / rate) + (1 - q) * np.log((1 - q) / (1 - rate)))
         use = (gain >= significance) & (q >= 0.95)
         marked.append(Weights(keys[use], np.ones(use.sum())))
-    # sentences with a toxic token, and a share of the others
+    # sentences with a token that looks toxic, and a share of the others
     rng = np.random.default_rng(11)
     kinds, labels, restart = [[] for _ in range(4)], [], []
-    for i, t in parts:
+    for own_labels, t in each():
         if not len(t.begin):
             continue
-        y = np.any([m.of(f) > 0 for m, f in zip(marked, t.features)], axis=0) & (toxic[i:][t.words.doc] == 1)
+        bad = own_labels[t.words.doc] == 1
+        looks = np.any([m.of(f) > 0 for m, f in zip(marked, t.features)], axis=0)
+        y = looks & bad
         sent = np.cumsum(t.restart) - 1
         hit = np.zeros(sent[-1] + 1, bool)
-        hit[sent[y]] = True
-        clean = (toxic[i:][t.words.doc] == 0)[np.flatnonzero(t.restart)]
-        use = (hit | (clean & (rng.random(len(hit)) < clean_share)))[sent]
+        hit[sent[looks]] = True  # also those of other documents that look alike
+        use = (hit | (~bad[np.flatnonzero(t.restart)] & (rng.random(len(hit)) < clean_share)))[sent]
         for k in range(4):
             kinds[k].append(t.features[k][use])
         labels.append(y[use])
         restart.append(t.restart[use])
+    if not labels:
+        return model
     labels, restart = np.concatenate(labels).astype(float), np.concatenate(restart)
     if not labels.any():
         return model
@@ -216,29 +236,24 @@ def fit_crf(texts: list[str], toxic: np.ndarray, steps: int = 100, significance:
             x += 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.98**step)) + 1e-3)
     weights = [Weights(k[np.abs(x) > 0.02], x[np.abs(x) > 0.02]) for k, x in zip(keys, theta[3:])]
     model |= {"weights": weights, "bias": float(theta[0]), "trans": theta[1], "first": theta[2]}
-    x = np.concatenate([document_evidence(t, model)[0] for _, t in parts])
+    x = np.concatenate([document_evidence(t, model)[0] for _, t in each()])
     model["slope"], model["offset"] = _calibrate(x, toxic[: len(x)] == 1)
     return model
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic function from evidence to chance, by Newton's method."""
-    z = np.stack([x, np.ones(len(x))], axis=1)
-    target = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
+def _calibrate(x: np.ndarray, y: np.ndarray, slope: float = 2.0, chance: float = 0.7) -> tuple[float, float]:
+    """Slope and offset of the logistic function from evidence to score.
 
-    def loss(w):
-        u = z @ w
-        return (np.logaddexp(0, u) - target * u).sum() + 5e-4 * w[0] ** 2
-
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (p - target) + np.array([1e-3, 0]) * w
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag([1e-3, 1e-6]), g)
-        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
-            step = step / 2
-        w = w - step
-    return float(w[0]), float(w[1])
+    The score is ``chance`` where the two kinds of fitting documents part best:
+    in the middle, by expected toxic tokens, of the range of cuts with the best
+    balanced accuracy.
+    """
+    values = np.unique(x)
+    cuts = np.concatenate([values, [values[-1] + 1]]) if len(values) else np.zeros(1)
+    good = [(x[y] >= c).mean() + (x[~y] < c).mean() for c in cuts]
+    k = int(np.argmax(good))
+    cut = np.log((np.exp(cuts[k]) + np.exp(cuts[max(k - 1, 0)])) / 2)
+    return slope, float(np.log(chance / (1 - chance)) - slope * cut)
 
 
 def document_evidence(tokens: Tokens, model: dict):
@@ -251,7 +266,7 @@ def document_evidence(tokens: Tokens, model: dict):
     return np.log(np.bincount(w.doc, np.where(p >= FLOOR, p, 0), w.n_docs) + 1e-3), p
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, max_rows: int = 3_000, span_chance: float = 0.5) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, max_rows: int = 2_000, span_chance: float = 0.5) -> DataFrame:
     """(id, held_out, score, predicted, spans) for each row of ``docs``.
 
     Spans are code point ranges [start, end) of tokens whose chance of being
@@ -270,7 +285,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     picked = marks.filter("y = 1").orderBy(*order).limit(max_rows).unionByName(marks.filter("y = 0").orderBy(*order).limit(max_rows))
     # at most 2 * max_rows ids and flags: a bounded broadcast
     rows = source.join(F.broadcast(picked), "id").orderBy(*order, "text").limit(2 * max_rows).select("text", "y").toPandas()
-    model = fit_crf(rows["text"].fillna("").tolist(), rows["y"].to_numpy(dtype=int)) if len(rows) else fit_crf([], np.zeros(0, int))
+    model = fit_crf(rows["text"].fillna("").tolist(), rows["y"].to_numpy(dtype=int))
     del rows
     schema = f"id {kind}, score double, spans array<struct<start:int,end:int,chance:double>>"
 
