@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .base import ORACLE_SQL, QUERIES
 
-FAMILIES = ("filters", "joins", "aggregates", "sequences", "leakage", "texts")
+FAMILIES = ("filters", "joins", "aggregates", "sequences", "leakage", "texts", "statistics", "selection", "content", "streams")
 for family in FAMILIES:
     import_module(f"{__package__}.{family}")
 
