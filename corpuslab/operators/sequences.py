@@ -58,11 +58,11 @@ def theil_sen(df: DataFrame, group: str, x: str, y: str, out: str = "slope") ->
 
 
 def spearman(df: DataFrame, group: str, x: str, y: str, out: str = "rho") -> DataFrame:
-    """Correlation of average ranks; groups of fewer than three rows have none."""
+    """Correlation of average ranks; groups of fewer than three rows, or of equal values, have none."""
 
     def rank(c):
         by = Window.partitionBy(group)
         return F.rank().over(by.orderBy(c)) + (F.count("*").over(Window.partitionBy(group, c)) - 1) / 2.0
 
     ranked = df.select(group, rank(x).alias("rx"), rank(y).alias("ry"))
-    return ranked.groupBy(group).agg(F.when(F.count("*") >= 3, F.corr("rx", "ry")).alias(out))
+    return ranked.groupBy(group).agg(F.when(F.count("*") >= 3, F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))).alias(out))
