@@ -12,12 +12,13 @@ def _labelled(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
 
 
-ELIGIBLE = (F.coalesce(F.col("quality"), F.lit(-1)) >= 1) & (F.coalesce(F.col("toxic"), F.lit(1)) == 0) & (F.length(F.trim("text")) > 0)
+def eligible():
+    return (F.coalesce(F.col("quality"), F.lit(-1)) >= 1) & (F.coalesce(F.col("toxic"), F.lit(1)) == 0) & (F.length(F.trim("text")) > 0)
 
 
 @query("f1_eligible", "SELECT d.doc_id, d.source, d.n_chars FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(quality, -1) >= 1 AND coalesce(toxic, 1) = 0 AND length(trim(text)) > 0")
 def f1(spark, d):
-    return _labelled(spark, d).filter(ELIGIBLE).select("doc_id", "source", "n_chars")
+    return _labelled(spark, d).filter(eligible()).select("doc_id", "source", "n_chars")
 
 
 @query("f2_funnel", """
@@ -73,7 +74,8 @@ def f5(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", pattern, 1).alias("scheme"), F.regexp_extract("url", pattern, 2).alias("host"), F.col("url").rlike(pattern).alias("matched"))
 
 
-REASONS = {"short": F.col("n_chars") < 500, "foreign": F.col("lang") != "en", "toxic": F.coalesce(F.col("toxic") == 1, F.lit(False)), "unlabelled": F.col("quality").isNull()}
+def reasons():
+    return {"short": F.col("n_chars") < 500, "foreign": F.col("lang") != "en", "toxic": F.coalesce(F.col("toxic") == 1, F.lit(False)), "unlabelled": F.col("quality").isNull()}
 
 
 @query("f6_reject_reasons", """
@@ -82,14 +84,14 @@ WITH r AS (SELECT list_filter([CASE WHEN n_chars < 500 THEN 'short' END, CASE WH
 e AS (SELECT unnest(rs) AS reason, len(rs) = 1 AS sole FROM r)
 SELECT reason, count(*) AS n_any, count_if(sole) AS n_sole FROM e GROUP BY reason""")
 def f6(spark, d):
-    return reason_counts(_labelled(spark, d), reject_reasons(REASONS))
+    return reason_counts(_labelled(spark, d), reject_reasons(reasons()))
 
 
 @query("f7_reject_ladder", """
 SELECT CASE WHEN n_chars < 500 THEN 'short' WHEN lang <> 'en' THEN 'foreign' WHEN coalesce(toxic = 1, false) THEN 'toxic' WHEN quality IS NULL THEN 'unlabelled' ELSE 'accepted' END AS reason, count(*) AS n
 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
 def f7(spark, d):
-    return _labelled(spark, d).groupBy(first_reason(REASONS).alias("reason")).agg(F.count("*").alias("n"))
+    return _labelled(spark, d).groupBy(first_reason(reasons()).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("f8_charset_ladder", r"""
