@@ -10,6 +10,9 @@ from ..functions.text import words
 
 def gram_counts(df: DataFrame, key: list[str], tokens: Column, sizes: range) -> DataFrame:
     """(key, n, gram, count) of the word n-grams of several sizes."""
+    df = df.select(*key, tokens.alias("tokens"))  # in a step of their own: inside the lambdas they would be cut anew for each gram
+    tokens = F.col("tokens")
+
     def of_size(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1)))
         rows = F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, F.lit(n)), " ").alias("gram")))

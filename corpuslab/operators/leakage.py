@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 
 def shingles(tokens: Column, n: int) -> Column:
     """Distinct n-word shingles; a shorter text is one shingle, an empty one has none."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    many = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+    # the token array is zipped with itself, shifted; a lambda over positions would cut the text anew for each one
+    many = tokens
+    for k in range(1, n):
+        shifted = F.slice(tokens, F.lit(k + 1), F.greatest(F.size(tokens) - k, F.lit(0)))
+        many = F.zip_with(many, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+    many = F.filter(many, lambda g: g.isNotNull())
     whole = F.when(F.size(tokens) > 0, F.array(F.array_join(tokens, " "))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.when(F.size(tokens) >= n, many).otherwise(whole))
 
 
 def gram_table(df: DataFrame, key: str, tokens: Column, n: int) -> DataFrame:
     """(key, gram, size) with one row per distinct shingle; grams as 64-bit hashes."""
-    sets = df.select(F.col(key), shingles(tokens, n).alias("grams"))
+    # tokens in a step of their own: inside the lambdas they would be cut anew for each shingle
+    sets = df.select(F.col(key), tokens.alias("tokens")).select(key, shingles(F.col("tokens"), n).alias("grams"))
     return sets.select(key, F.size("grams").alias("size"), F.explode("grams").alias("gram")).withColumn("gram", F.xxhash64("gram"))
 
 

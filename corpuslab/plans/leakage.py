@@ -38,8 +38,8 @@ def j7(spark, d):
 @query("l1_shingle_counts", GRAMS + " SELECT id AS doc_id, count(*) AS n_grams FROM grams WHERE side = 'd' GROUP BY 1")
 def l1_counts(spark, d):
     docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    n = F.size(shingles(words(F.lower("text")), 8))
-    return docs.select("doc_id", n.alias("n_grams")).filter("n_grams > 0")
+    tokens = docs.select("doc_id", words(F.lower("text")).alias("tokens"))
+    return tokens.select("doc_id", F.size(shingles(F.col("tokens"), 8)).alias("n_grams")).filter("n_grams > 0")
 
 
 @query("l2_exact_copies", """
