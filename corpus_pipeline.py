@@ -28,14 +28,14 @@ def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good."""
-    scored = quality_scores(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, scored.filter("predicted = 1"))
+    scored = quality_scores(docs, table(spark, sf_dir, "labels"), carry=docs.columns)
+    return scored.filter("predicted = 1").select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic."""
-    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, scored.filter("predicted = 0"))
+    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"), carry=docs.columns)
+    return scored.filter("predicted = 0").select(*docs.columns)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

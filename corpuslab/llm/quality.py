@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, written
+from .shared import held_out
 from .textkernel import SPACE, Words, slices
 
 FEATURES = (
@@ -134,7 +134,7 @@ def fit_bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int = 200_000, ridge:
     return model | {"weights": w, "cut": float(cut), "quantile": float((order < cut).mean())}
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, max_rows: int = 20_000) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, max_rows: int = 20_000, carry: list[str] | None = None) -> DataFrame:
     """(id, held_out, score, predicted) for each row of ``docs``.
 
     The score is the logistic function of a text's strength less the cut.
@@ -144,28 +144,39 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     score; null and wordless texts have all features 0.  Rows with equal ids are
     each scored, and count once each in fitting; rows without an id are scored,
     and held out exactly if their crc says so (null: not held out, never
-    learnt).  Labels that are null are not learnt from.
+    learnt).  Labels that are null are not learnt from.  ``carry`` names columns
+    of ``docs`` to return in place of the id.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    carried = list(carry or [])
+    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *(F.col(f"`{c}`") for c in carried))
+    kind = source.dtypes[0][1]
+    fields = {f.name: f.dataType.simpleString() for f in source.schema}
 
     def measure(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for i, j, data, offs in slices(batch.column("text")):
-                x = features(data, offs).astype(np.float32)
+            for i, j, data, offs in slices(batch.column("__text")):
+                x = features(data, offs)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), flat], ["id", "x"])
-
-    measured = written(source.mapInArrow(measure, f"id {dict(source.dtypes)['id']}, x array<float>"), "quality-features")
-    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y is not null and id is not null")
-    marks = marks.filter(~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
-    rows = measured.join(marks, "id").orderBy(F.xxhash64("id"), "id", "x").limit(max_rows).select("x", "y").toPandas()
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("__id", "y")), flat], ["__id", "y", "x"])
+
+    marks = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).filter("y is not null and __id is not null")
+    marks = marks.filter(~held_out("__id")).groupBy("__id").agg(F.max("y").alias("y"))
+    # at most max_rows ids and labels: a bounded broadcast
+    picked = marks.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
+    rows = source.select("__id", "__text").join(F.broadcast(picked), "__id").select("__id", "y", "__text")
+    rows = rows.mapInArrow(measure, f"__id {kind}, y int, x array<double>")
+    rows = rows.orderBy(F.xxhash64("__id"), "__id", "x").limit(max_rows).select("x", "y").toPandas()
     model = fit_bradley_terry(np.array(rows["x"].tolist(), float), rows["y"].to_numpy())
 
     def score(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)).astype(float)
-            s = expand(x, model["mean"], model["scale"]) @ model["weights"] - model["cut"]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1 / (1 + np.exp(-np.clip(s, -40, 40))))], ["id", "score"])
-
-    out = measured.mapInArrow(score, f"id {dict(source.dtypes)['id']}, score double")
-    return out.select(F.col("id").alias(id_col), F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+            for i, j, data, offs in slices(batch.column("__text")):
+                s = expand(features(data, offs), model["mean"], model["scale"]) @ model["weights"] - model["cut"]
+                kept = [batch.column(c).slice(i, j - i) for c in ("__id", *carried)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(1 / (1 + np.exp(-np.clip(s, -40, 40))))], ["__id", *carried, "__score"])
+
+    out = source.mapInArrow(score, ", ".join(f"`{c}` {fields[c]}" for c in ("__id", *carried)) + ", __score double")
+    return out.select(
+        *([] if carry is not None else [F.col("__id").alias(id_col)]), *(F.col(f"`{c}`") for c in carried),
+        F.coalesce(held_out("__id"), F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"),
+    )

@@ -266,7 +266,7 @@ def document_evidence(tokens: Tokens, model: dict):
     return np.log(np.bincount(w.doc, np.where(p >= FLOOR, p, 0), w.n_docs) + 1e-3), p
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, max_rows: int = 2_000, span_chance: float = 0.5) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, max_rows: int = 2_000, span_chance: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """(id, held_out, score, predicted, spans) for each row of ``docs``.
 
     Spans are code point ranges [start, end) of tokens whose chance of being
@@ -275,23 +275,25 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     not held out: the ``max_rows`` toxic ones and the ``max_rows`` others with
     the smallest hashes of their ids.  Whole texts and nothing else enter the
     scores.  Null and wordless texts get the score of no evidence; null labels
-    and ids are not learnt from; equal rows are scored alike.
+    and ids are not learnt from; equal rows are scored alike.  ``carry`` names
+    columns of ``docs`` to return in place of the id.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = dict(source.dtypes)["id"]
-    marks = labels.select(F.col(id_col).alias("id"), (F.col(label_col) == 1).cast("int").alias("y")).filter("y is not null and id is not null")
-    marks = marks.filter(~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
-    order = [F.xxhash64("id"), F.col("id")]
+    carried = list(carry or [])
+    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *(F.col(f"`{c}`") for c in carried))
+    fields = {f.name: f.dataType.simpleString() for f in source.schema}
+    marks = labels.select(F.col(id_col).alias("__id"), (F.col(label_col) == 1).cast("int").alias("y")).filter("y is not null and __id is not null")
+    marks = marks.filter(~held_out("__id")).groupBy("__id").agg(F.max("y").alias("y"))
+    order = [F.xxhash64("__id"), F.col("__id")]
     picked = marks.filter("y = 1").orderBy(*order).limit(max_rows).unionByName(marks.filter("y = 0").orderBy(*order).limit(max_rows))
     # at most 2 * max_rows ids and flags: a bounded broadcast
-    rows = source.join(F.broadcast(picked), "id").orderBy(*order, "text").limit(2 * max_rows).select("text", "y").toPandas()
+    rows = source.select("__id", "__text").join(F.broadcast(picked), "__id").orderBy(*order, "__text").limit(2 * max_rows).select(F.col("__text").alias("text"), "y").toPandas()
     model = fit_crf(rows["text"].fillna("").tolist(), rows["y"].to_numpy(dtype=int))
     del rows
-    schema = f"id {kind}, score double, spans array<struct<start:int,end:int,chance:double>>"
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in ("__id", *carried)) + ", __score double, __spans array<struct<start:int,end:int,chance:double>>"
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for i, j, data, offs in slices(batch.column("text")):
+            for i, j, data, offs in slices(batch.column("__text")):
                 t = Tokens(data, offs)
                 x, p = document_evidence(t, model)
                 score = 1 / (1 + np.exp(-np.clip(model["slope"] * x + model["offset"], -30, 30)))
@@ -309,7 +311,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                             spans[d].append(span)
                 fields = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("chance", pa.float64())])
                 got = pa.array([[{c: s[c] for c in ("start", "end", "chance")} for s in x] for x in spans], pa.list_(fields))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(score), got], ["id", "score", "spans"])
+                kept = [batch.column(c).slice(i, j - i) for c in ("__id", *carried)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(score), got], ["__id", *carried, "__score", "__spans"])
 
     out = source.mapInArrow(run, schema)
-    return out.select(F.col("id").alias(id_col), F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+    return out.select(
+        *([] if carry is not None else [F.col("__id").alias(id_col)]), *(F.col(f"`{c}`") for c in carried),
+        F.coalesce(held_out("__id"), F.lit(False)).alias("held_out"), F.col("__score").alias("score"),
+        (F.col("__score") >= threshold).cast("int").alias("predicted"), F.col("__spans").alias("spans"),
+    )
