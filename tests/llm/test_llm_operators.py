@@ -431,3 +431,20 @@ def test_digest_columns(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     for r in queries.QUERIES["op9_bpe_round_trip"](spark, d).collect():
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_pipeline_stages_keep_the_columns(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    before = {r.doc_id for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        if name == corpus_pipeline.STAGES[-1][0]:
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()}
+            break
+        assert out.columns == docs.columns
+        now = {r.doc_id for r in out.collect()}
+        assert now < before or name == "toxicity" and now <= before
+        docs, before = out.cache(), now
