@@ -387,3 +387,60 @@ def z20(spark, d):
 def z24(spark, d):
     picked = top_per_group(table(spark, d, "documents"), ["source"], [F.col("doc_id")], 5)
     return picked.select(F.concat(F.lit("sel_"), F.col("doc_id")).alias("sample_id"), F.col("source").alias("channel_id"), (F.col("n_chars") / 15.0).alias("duration_sec"))
+
+
+@query("z7_failure_anatomy", """
+WITH x AS (SELECT user_id, event_type, lead(event_type) OVER w AS b, row_number() OVER w AS pos FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+c AS (SELECT user_id, pos, count(*) OVER (PARTITION BY user_id, event_type, b ORDER BY pos ROWS UNBOUNDED PRECEDING) AS n FROM x WHERE b IS NOT NULL), f AS (SELECT user_id, min(pos) AS first FROM c WHERE n > 3 GROUP BY 1), t AS (SELECT user_id, count(*) AS total FROM events GROUP BY 1)
+SELECT user_id, first, round(first / total, 6) AS share, first IS NULL AS sound FROM t LEFT JOIN f USING (user_id)""")
+def z7(spark, d):
+    from .sequences import w19
+
+    total = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("total"))
+    j = total.join(w19(spark, d).withColumnRenamed("position", "first"), "user_id", "left")
+    return j.select("user_id", "first", F.round(F.col("first") / F.col("total"), 6).alias("share"), F.col("first").isNull().alias("sound"))
+
+
+@query("z14_packing_comparison", "SELECT lang, count(*) AS rows, CAST(sum(ceil(n_chars / 1000.0)) AS BIGINT) AS windows, round(sum(ceil(n_chars / 1000.0)) / count(*), 6) AS ratio FROM documents GROUP BY 1")
+def z14(spark, d):
+    windows = F.sum(F.ceil(F.col("n_chars") / 1000.0))
+    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("rows"), windows.cast("long").alias("windows"), F.round(windows / F.count("*"), 6).alias("ratio"))
+
+
+@query("z36_own_and_other", """
+WITH e AS (SELECT label, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, list(x ORDER BY k) AS v FROM (SELECT label, k, avg(x) AS x FROM e GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT a.vec_id, a.label = m.label AS own, list_inner_product(a.embedding::DOUBLE[], m.v) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(m.v, m.v)) AS c FROM embeddings a, m)
+SELECT vec_id, round(max(c) FILTER (WHERE own), 5) AS own, round(max(c) FILTER (WHERE NOT own), 5) AS other FROM s GROUP BY 1""")
+def z36(spark, d):
+    from ..operators.leakage import dot, mean_vectors, unit
+
+    e = table(spark, d, "embeddings")
+    means = mean_vectors(e, "label", "embedding").select(F.col("label").alias("l"), "mean")  # one row per label
+    rows = e.select("vec_id", "label", unit(F.transform("embedding", lambda x: x.cast("double"))).alias("v")).crossJoin(F.broadcast(means))
+    c = dot(F.col("v"), F.col("mean"))
+    rows = rows.select("vec_id", (F.col("label") == F.col("l")).alias("same"), c.alias("c"))
+    return rows.groupBy("vec_id").agg(F.round(F.max(F.when(F.col("same"), F.col("c"))), 5).alias("own"), F.round(F.max(F.when(~F.col("same"), F.col("c"))), 5).alias("other"))
+
+
+@query("z39_mix_sources", "WITH s AS (SELECT * FROM (VALUES ('src1', 3), ('src2', 5), ('nowhere', 1)) t(source, cap)), n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1) SELECT source, cap, CASE WHEN n IS NOT NULL THEN least(cap, n) END AS used, n IS NULL AS unknown FROM s LEFT JOIN n USING (source)")
+def z39(spark, d):
+    s = spark.createDataFrame([("src1", 3), ("src2", 5), ("nowhere", 1)], "source string, cap int")
+    n = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    used = F.when(F.col("n").isNotNull(), F.least(F.col("cap").cast("long"), F.col("n")))
+    return s.join(n, "source", "left").select("source", "cap", used.alias("used"), F.col("n").isNull().alias("unknown"))
+
+
+@query("z47_identity_windows", "SELECT conv_id FROM conversations GROUP BY 1 HAVING min(turn) <> 0 OR max(turn) + 1 <> count(*)")
+def z47(spark, d):
+    g = table(spark, d, "conversations").groupBy("conv_id").agg(F.min("turn").alias("low"), F.max("turn").alias("high"), F.count("*").alias("n"))
+    return g.filter((F.col("low") != 0) | (F.col("high") + 1 != F.col("n"))).select("conv_id")
+
+
+@query("z48_required_columns", "SELECT doc_id, text, source, 'row' || doc_id AS sample_id FROM documents")
+def z48(spark, d):
+    docs = table(spark, d, "documents")
+    lacking = {"doc_id", "text", "source"} - set(docs.columns)
+    if lacking:
+        raise ValueError(f"columns are missing: {sorted(lacking)}")
+    own = F.col("sample_id") if "sample_id" in docs.columns else F.concat(F.lit("row"), F.col("doc_id"))
+    return docs.select("doc_id", "text", "source", own.alias("sample_id"))
