@@ -5,10 +5,12 @@ Plan, each step a distributed pass over all documents:
 1. Count sketch.  Every shingle of every set adds to one of ``2 ** sketch_bits``
    counters; the summed sketch (fixed size) gives all tasks one global order of
    shingles in which frequent ones come last.
-2. Prefixes.  Two sets of similarity t share one of the first
-   ``n - ceil(t * n) + 1`` shingles of either (n: the set's size) under any
-   global order, so these prefixes deal sets out to buckets without loss.  Sets
-   are named by a fingerprint, so copies meet as one node.
+2. Prefixes.  Two sets of similarity t share l of the first ``n - ceil(t * n) + l``
+   shingles of either (n: the set's size) under any global order, so these
+   prefixes deal sets out to buckets, one for each shingle, without loss.  Sets
+   are named by a fingerprint, so copies meet as one node.  A node of which fewer
+   than l shingles occur in other nodes' prefixes has no partner; of the others'
+   shingles the l - 1 most frequent ones can go, as a pair's rarest shared one stays.
 3. Stars.  Within a bucket and a size band each node is compared with the
    smallest node; verified links make first components.  A group of thousands of
    near copies is thereby joined with a linear number of comparisons.
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -40,6 +42,7 @@ from .textkernel import HASH_BITS, HASH_MASK, Words, mix, shingle_keys, slices
 
 NARROW, WIDE = 128, 1 << 14  # bits of a token bitmap
 BLOCK = 1024  # members of one block of a large bucket
+FEW = 1  # partners of a node, in each bucket, in the first walks through the trees
 FAN = 8  # children of a tree's node
 SKETCH_PARTS = 64
 
@@ -60,8 +63,9 @@ def _fingerprints(sizes, at, hashes) -> np.ndarray:
 
 
 def _bitmaps(sizes, at, hashes) -> list[bytes]:
-    """A token bitmap per set, of a power of two bits, at least twice as many as tokens if that is not too wide."""
-    widths = np.clip(2 ** np.ceil(np.log2(np.maximum(sizes, 2) * 2)).astype(np.int64), NARROW, WIDE)
+    """A token bitmap per set, of a power of two bits: eight and more a token for small sets, two for large ones."""
+    wanted = np.maximum(np.minimum(sizes * 8, 2048), sizes * 2)
+    widths = np.clip(2 ** np.ceil(np.log2(np.maximum(wanted, 2))).astype(np.int64), NARROW, WIDE)
     ends = np.cumsum(widths // 8)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     bit = (hashes & np.repeat(widths - 1, sizes).astype(np.uint64)).astype(np.int64)
@@ -109,9 +113,14 @@ def count_sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
     return np.clip(np.ceil(8 * np.log2(np.maximum(total, 1))), 0, 255).astype(np.uint8)
 
 
+def shared_least(n, num: int, den: int):
+    """Shingles of its prefix that a set of n must share with any partner of its own size or more."""
+    return 1 + (n - -(-n * num // den)) // 2
+
+
 def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Shingles to look at, so that sets of similarity num/den share one of them."""
-    return np.where(n > 0, n - -(-n * num // den) + 1, 0)
+    """Shingles to look at, so that sets of similarity num/den share ``shared_least`` of them."""
+    return np.where(n > 0, n - -(-n * num // den) + shared_least(n, num, den), 0)
 
 
 def tree_pairs(sizes, slack, bitmaps, comps, first, second, num: int, den: int):
@@ -206,9 +215,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = written(docs.mapInArrow(prefixes, "id long, key long, n long, node long, bitmap binary, tokens array<long>"), "jaccard-sets")
     released(spark)
     deal = sets.filter("n > 0").select("node", "n", F.explode("tokens").alias("token"))
-    met = written(deal.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("token"), "jaccard-met")
+    met = written(_shared_tokens(deal), "jaccard-met")
+    released(spark)
     deal = written(deal.join(met, "token").distinct(), "jaccard-buckets")
     released(spark, met)
+    smallest = F.expr(f"(n * {num} + {den - 1}) div {den}")  # of a partner
+    least = 1 + F.floor((smallest - F.expr(f"(((n * {num} + {den - 1}) div {den}) * {num} + {den - 1}) div {den}")) / 2)
+    own = Window.partitionBy("node")
+    for _ in range(2):
+        held = deal.withColumn("held", F.count("*").over(own)).filter(F.col("held") >= least).drop("held")
+        held = written(held.drop("df"), "jaccard-held")
+        again = written(_shared_tokens(held), "jaccard-met")
+        old, deal = deal, written(held.join(again, "token"), "jaccard-buckets")
+        released(spark, old, held, again)
+    ranked = deal.withColumn("held", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "token")))
+    old, deal = deal, written(ranked.filter(F.col("place") <= F.col("held") - least + 1).select("token", "node", "n"), "jaccard-buckets")
+    released(spark, old)
     nodes = deal.select("node").distinct()
     nodes = sets.join(nodes, "node").groupBy("node").agg(F.first("n").alias("n"), F.min("key").alias("key"), F.first("bitmap").alias("bitmap"))
     nodes = written(nodes, "jaccard-nodes")
@@ -226,7 +248,38 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     released(spark, full)
     known = written(components(links), "jaccard-known")
 
-    # buckets that still hold nodes of different components
+    # buckets that still hold nodes of different components, at first with one or a few partners for each node:
+    # most of a large group is one component after that, and the walk for all partners passes it over
+    for partners in (FEW, 4 * FEW, None):
+        links = links.unionByName(_verified(*_tree_candidates(docs, deal, nodes, known, shingle_words, num, den, partners), num, den))
+        links = written(links.distinct(), "jaccard-links")
+        known = written(components(links), "jaccard-known")
+        released(spark)
+    comp = known
+    released(spark, deal, nodes)
+
+    # smallest id of each component; nodes without links only matter if several rows share them
+    copies = sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("rows"))
+    named = written(copies.join(comp, "node", "left").filter("comp is not null or rows > 1").select("node", "low", F.coalesce("comp", "node").alias("comp")), "jaccard-named")
+    lows = written(named.groupBy("comp").agg(F.min("low").alias("component_id")), "jaccard-lows")
+    named = written(named.join(lows, "comp").select("node", "component_id"), "jaccard-names")
+    empty = F.xxhash64(F.col("id"), F.rand(7))  # wordless rows are dealt out evenly and match nothing
+    out = sets.select("id", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(empty).alias("node"))
+    out = out.join(named, "node", "left")
+    return out.select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"),
+    )
+
+
+def _tree_candidates(docs: DataFrame, deal: DataFrame, nodes: DataFrame, known: DataFrame, shingle_words: int, num: int, den: int, partners: int | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs of nodes of one bucket and different components that may be similar, and their whole sets.
+
+    With ``partners`` set, a node meets that many others at most in each part of
+    a bucket; a later call without it finds the rest.
+    """
+    spark = docs.sparkSession
     marked = written(deal.join(known, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp")), "jaccard-marked")
     mixed = marked.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).filter("x <> y")
     mixed = written(mixed.select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "jaccard-mixed")
@@ -249,34 +302,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             cut = int(new[-1]) if len(new) else 0
             carry = t.slice(cut)
             if cut:
-                yield from _tree_batch(t.slice(0, cut), num, den)
+                yield from _tree_batch(t.slice(0, cut), num, den, partners)
         if carry is not None and len(carry):
-            yield from _tree_batch(carry, num, den)
+            yield from _tree_batch(carry, num, den, partners)
 
-    more = rest.mapInArrow(trees, "a long, b long").distinct()
-    more = written(more.join(stars, ["a", "b"], "left_anti"), "jaccard-more")
-    released(spark, deal, marked, mixed, stars)
-    full = _whole_sets(docs, _wanted(more, nodes), shingle_words)
-    links = links.unionByName(_verified(more, full, num, den))
-    comp = written(components(written(links, "jaccard-all")), "jaccard-comp")
-    released(spark, full, nodes)
+    more = written(rest.mapInArrow(trees, "a long, b long").distinct(), "jaccard-more")
+    released(spark, marked, mixed)
+    return more, _whole_sets(docs, _wanted(more, nodes), shingle_words)
 
-    # smallest id of each component; nodes without links only matter if several rows share them
-    copies = sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("rows"))
-    named = written(copies.join(comp, "node", "left").filter("comp is not null or rows > 1").select("node", "low", F.coalesce("comp", "node").alias("comp")), "jaccard-named")
-    lows = written(named.groupBy("comp").agg(F.min("low").alias("component_id")), "jaccard-lows")
-    named = written(named.join(lows, "comp").select("node", "component_id"), "jaccard-names")
-    empty = F.xxhash64(F.col("id"), F.rand(7))  # wordless rows are dealt out evenly and match nothing
-    out = sets.select("id", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(empty).alias("node"))
-    out = out.join(named, "node", "left")
-    return out.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"),
-    )
+
+def _shared_tokens(deal: DataFrame) -> DataFrame:
+    """(token, df) of shingles that lie in the prefixes of two nodes or more."""
+    met = deal.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("df"))
+    return met.filter("x <> y").select("token", "df")
 
 
-def _tree_batch(t: pa.Table, num: int, den: int):
+def _tree_batch(t: pa.Table, num: int, den: int, partners: int | None):
     token, p, q, own, n, node, comp = (t.column(c).to_numpy() for c in ("token", "p", "q", "own", "n", "node", "comp"))
     raw = t.column("bitmap").to_pylist()
     widths = np.array([8 * len(x) for x in raw])
@@ -318,6 +359,13 @@ def _tree_batch(t: pa.Table, num: int, den: int):
             x, y = tree_pairs(n[rows], slack, bitmaps, comp[rows], first, second, num, den)
             x, y = rows[x], rows[y]
             real = comp[x] != comp[y]
+            if partners is not None:  # the first few of each node, in an order that differs by node
+                spot = np.lexsort((mix(node[x].view(np.uint64) ^ node[y].view(np.uint64)), x))
+                x, y, real = x[spot], y[spot], real[spot]
+                x, y = x[real], y[real]
+                begin = np.searchsorted(x, x)
+                few = np.arange(len(x)) - begin < partners
+                x, y, real = x[few], y[few], np.ones(int(few.sum()), bool)
             a, b = np.minimum(node[x], node[y])[real], np.maximum(node[x], node[y])[real]
             found = np.unique(np.stack([a, b]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
@@ -347,7 +395,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
 
 def _wanted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, key) of the nodes in ``pairs``; the key names a document to read."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct())
     return written(nodes.select("node", "key").join(ends, "node", "left_semi"), "jaccard-wanted")
 
 
