@@ -2,17 +2,20 @@
 
 Every word of every text is predicted from the words at both sides of it.  The
 vocabulary are the most frequent words of the corpus, counted over all texts;
-all other words fall into classes by hash.  A network of one hidden layer reads
-the words of the window, each through a table of its position, and gives the
-word's chance as that of its group times that inside the group.  It is trained
-in numpy on all texts, each once: every task walks through its texts from a
-shared start, and the tasks' parameters are averaged, weighted by their words,
-after each round.  A document's score is the sum of the logarithms of its words'
-chances.
+all other words fall into classes by hash, and have their class's chance times
+their own share of its count, which a distributed join with the counts of all
+words brings.  Vocabulary, classes and network grow with the corpus.  A network
+of one hidden layer reads the words of the window, each through a table of its
+position, and gives the word's chance as that of its group times that inside the
+group.  It is trained in numpy on all texts, each once: every task walks through
+its texts from a shared start, and the tasks' parameters are averaged, weighted
+by their words, after each round.  A document's score is the sum of the
+logarithms of its words' chances.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,29 +27,40 @@ from pyspark.sql import functions as F
 from .shared import released, written
 from .textkernel import Words, slices
 
-GROUPS, MEMBERS, RARE = 32, 32, 256
-CLASSES = GROUPS * MEMBERS
+CLASSES = 1024  # of the smallest network
 HIDDEN, REACH = 16, 2
 BATCH = 16384
 BLOCKS = 16
 
 
-def shapes() -> dict[str, tuple[int, ...]]:
+def class_count(tokens: int) -> int:
+    """Classes for a corpus of so many words: a power of two, as the root of the words."""
+    return max(CLASSES, 1 << max(math.isqrt(tokens) // 4, 1).bit_length() - 1)
+
+
+def rare_count(classes: int) -> int:
+    """Of the classes, those that words get by hash; a power of two too."""
+    return classes // 4
+
+
+def shapes(classes: int) -> dict[str, tuple[int, ...]]:
+    groups = 1 << classes.bit_length() // 2
+    members = classes // groups
     return {
-        "tables": (2 * REACH, CLASSES + 1, HIDDEN),
+        "tables": (2 * REACH, classes + 1, HIDDEN),
         "bias": (HIDDEN,),
-        "groups": (HIDDEN, GROUPS),
-        "group_bias": (GROUPS,),
-        "members": (GROUPS, HIDDEN, MEMBERS),
-        "member_bias": (GROUPS, MEMBERS),
+        "groups": (HIDDEN, groups),
+        "group_bias": (groups,),
+        "members": (groups, HIDDEN, members),
+        "member_bias": (groups, members),
     }
 
 
 def start(counts: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
     """Small random tables, and biases that give each class its share of the corpus."""
     rng = np.random.default_rng(seed)
-    net = {k: (rng.normal(size=s) * 0.1).astype(np.float32) for k, s in shapes().items()}
-    share = (counts + 1.0).reshape(MEMBERS, GROUPS).T  # class = member * GROUPS + group
+    net = {k: (rng.normal(size=s) * 0.1).astype(np.float32) for k, s in shapes(len(counts)).items()}
+    share = (counts + 1.0).reshape(net["member_bias"].shape[::-1]).T  # class = member * groups + group
     net["bias"][:] = 0
     net["group_bias"] = np.log(share.sum(axis=1) / share.sum()).astype(np.float32)
     net["member_bias"] = np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
@@ -62,7 +76,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def forward(net, context, classes, learn: bool = False):
     """Log chances of ``classes`` given ``context`` (2 * REACH, n), and gradients of their sum."""
-    group, member = classes % GROUPS, classes // GROUPS
+    groups, border = net["groups"].shape[1], net["tables"].shape[1] - 1
+    group, member = classes % groups, classes // groups
     order = np.argsort(group, kind="stable")
     group, member, context = group[order], member[order], context[:, order]
     n = len(group)
@@ -74,13 +89,13 @@ def forward(net, context, classes, learn: bool = False):
     p = _softmax(h @ net["groups"] + net["group_bias"])
     at = np.arange(n)
     logs = np.log(np.maximum(p[at, group], 1e-30))
-    edges = np.searchsorted(group, np.arange(GROUPS + 1))
+    edges = np.searchsorted(group, np.arange(groups + 1))
     if learn:
         np.negative(p, out=p)
         p[at, group] += 1
         grads = {"groups": h.T @ p, "group_bias": p.sum(axis=0), "members": np.zeros_like(net["members"]), "member_bias": np.zeros_like(net["member_bias"])}
         dh = p @ net["groups"].T
-    for g in range(GROUPS):
+    for g in range(groups):
         b, e = edges[g], edges[g + 1]
         if b == e:
             continue
@@ -100,7 +115,7 @@ def forward(net, context, classes, learn: bool = False):
         columns = np.ascontiguousarray(dh.T)
         for k in range(2 * REACH):
             for j in range(HIDDEN):
-                grads["tables"][k, :, j] = np.bincount(context[k], columns[j], CLASSES + 1)
+                grads["tables"][k, :, j] = np.bincount(context[k], columns[j], border + 1)
         return logs.sum(), grads
     out = np.empty(n)
     out[order] = logs
@@ -110,12 +125,13 @@ def forward(net, context, classes, learn: bool = False):
 class Vocabulary:
     """Class of each word: its rank if frequent, else one by hash."""
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, classes: int):
+        self.size, self.rare = classes, rare_count(classes)
         self.order = np.argsort(hashes)
         self.keys = hashes[self.order]
 
     def classes(self, words: np.ndarray) -> np.ndarray:
-        out = (CLASSES - RARE + (words % np.uint64(RARE)).astype(np.int64)).astype(np.int32)
+        out = (self.size - self.rare + (words % np.uint64(self.rare)).astype(np.int64)).astype(np.int32)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
             hit = self.keys[at] == words
@@ -123,34 +139,35 @@ class Vocabulary:
         return out
 
 
-def windows(words: Words, vocabulary: Vocabulary):
-    """(context, classes) of all words of a slice; CLASSES stands for a text's border."""
-    own = vocabulary.classes(words.hashes())
+def windows(words: Words, hashes: np.ndarray, vocabulary: Vocabulary):
+    """(context, classes) of all words of a slice; the number of classes stands for a text's border."""
+    own = vocabulary.classes(hashes)
     n = len(own)
-    context = np.full((2 * REACH, n), CLASSES, np.int32)
+    context = np.full((2 * REACH, n), vocabulary.size, np.int32)
     for k, shift in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
         a, b = max(0, -shift), n - max(0, shift)
         if b > a:
             same = words.doc[a:b] == words.doc[a + shift : b + shift]
-            context[k, a:b] = np.where(same, own[a + shift : b + shift], CLASSES)
+            context[k, a:b] = np.where(same, own[a + shift : b + shift], vocabulary.size)
     return context, own
 
 
 def _batches(column, vocabulary):
     """Windows in whole slices, joined to batches of some thousands of words."""
     for _, _, data, offs in slices(column):
-        context, own = windows(Words(data, offs, lower=True), vocabulary)
+        words = Words(data, offs, lower=True)
+        context, own = windows(words, words.hashes(), vocabulary)
         for b in range(0, len(own), BATCH):
             yield context[:, b : b + BATCH], own[b : b + BATCH]
 
 
 def _flat(net) -> np.ndarray:
-    return np.concatenate([net[k].ravel() for k in shapes()])
+    return np.concatenate([net[k].ravel() for k in net])
 
 
-def _unflat(flat) -> dict[str, np.ndarray]:
+def _unflat(flat, classes: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in shapes().items():
+    for k, s in shapes(classes).items():
         size = int(np.prod(s))
         out[k] = np.ascontiguousarray(flat[at : at + size].reshape(s), np.float32)
         at += size
@@ -219,7 +236,7 @@ def train_round(docs: DataFrame, vocabulary: Vocabulary, net: dict, rate: float)
         part = np.frombuffer(part, np.float64)
         flat[block * size : block * size + len(part)] = part
         weight = own_weight
-    return _unflat(flat[:total] / weight) if weight else net
+    return _unflat(flat[:total] / weight, vocabulary.size) if weight else net
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, rate: float = 1.0) -> DataFrame:
@@ -235,31 +252,48 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counted = written(word_counts(source), "likelihood-words")
     released(spark)
-    top = counted.orderBy(F.desc("n"), "word").limit(CLASSES - RARE).collect()  # a fixed number of words
+    tokens = counted.agg(F.sum("n")).first()[0] or 0
+    classes = class_count(tokens)
+    rare = rare_count(classes)
+    top = counted.orderBy(F.desc("n"), "word").limit(classes - rare).collect()  # as the root of the corpus
     hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    counts = np.zeros(CLASSES)
+    counts = np.zeros(classes)
     counts[: len(top)] = [r["n"] for r in top]
-    spread = counted.groupBy(F.expr(f"pmod(word, {RARE})").cast("int").alias("k")).agg(F.sum("n").alias("n")).collect()
-    for r in spread:  # RARE rows; the frequent words of a class are taken off again
-        counts[CLASSES - RARE + r["k"]] = r["n"]
+    spread = counted.groupBy(F.expr(f"pmod(word, {rare})").cast("int").alias("k")).agg(F.sum("n").alias("n")).collect()
+    for r in spread:  # one row a class; the frequent words of a class are taken off again
+        counts[classes - rare + r["k"]] = r["n"]
     for h, r in zip(hashes.tolist(), top):
-        counts[CLASSES - RARE + h % RARE] -= r["n"]
-    vocabulary, net = Vocabulary(hashes), start(counts)
+        counts[classes - rare + h % rare] -= r["n"]
+    vocabulary, net = Vocabulary(hashes, classes), start(counts)
     for k in range(rounds):
         part = source.filter(F.pmod(F.xxhash64("id", "text"), F.lit(rounds)) == k) if rounds > 1 else source
         net = train_round(part, vocabulary, net, rate)
         released(spark)
-    released(spark, counted)
+    within = np.where(np.arange(classes) < classes - rare, 0, -np.log(np.maximum(counts, 1)))
 
     def score(batches: Iterator[pa.RecordBatch]):
+        # a row for each text, with its sum but for the counts of hashed words, and one for each hashed word
         for batch in batches:
             for i, j, data, offs in slices(batch.column("text")):
                 words = Words(data, offs, lower=True)
-                context, own = windows(words, vocabulary)
+                codes = words.hashes()
+                context, own = windows(words, codes, vocabulary)
                 logs = [forward(net, context[:, b : b + BATCH], own[b : b + BATCH]) for b in range(0, len(own), BATCH)]
-                total = np.bincount(words.doc, np.concatenate(logs) if logs else None, words.n_docs) if len(own) else np.zeros(j - i)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(words.counts.astype(np.int64)), pa.array(total)], ["id", "n_tokens", "log_likelihood"])
-
-    out = source.mapInArrow(score, f"id {source.dtypes[0][1]}, n_tokens long, log_likelihood double")
+                total = np.bincount(words.doc, np.concatenate(logs) + within[own], words.n_docs) if len(own) else np.zeros(j - i)
+                keys, none = batch.column("key").slice(i, j - i), batch.column("id").slice(0, 0)
+                at = np.flatnonzero(own >= classes - rare)
+                texts, held = pa.nulls(j - i, pa.bool_()).fill_null(False), pa.nulls(len(at), pa.bool_()).fill_null(True)
+                own_keys = keys.to_numpy()[words.doc[at]]
+                yield pa.RecordBatch.from_arrays([keys, keys, texts, batch.column("id").slice(i, j - i), pa.array(words.counts.astype(np.int64)), pa.array(total)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(own_keys), pa.array(codes[at].view(np.int64)), held, pa.nulls(len(at), none.type), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.float64())], names)
+
+    names = ["key", "word", "hashed", "id", "n_tokens", "base"]
+    rows = source.withColumn("key", F.xxhash64("id", "text")).mapInArrow(score, f"key long, word long, hashed boolean, id {source.dtypes[0][1]}, n_tokens long, base double")
+    # a word met once adds log 1; texts bear their key as word, which deals them out evenly, and join nothing
+    known = counted.filter("n > 1").select("word", F.lit(True).alias("hashed"), F.log("n").alias("log_n"))
+    rows = rows.join(known.hint("shuffle_hash"), ["word", "hashed"], "left")
+    sums = rows.groupBy("key").agg(F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.count("n_tokens").alias("copies"), (F.coalesce(F.sum("base"), F.lit(0.0)) + F.coalesce(F.sum("log_n"), F.lit(0.0))).alias("total"))
+    sums = sums.withColumn("log_likelihood", F.col("total") / F.col("copies"))  # rows of equal id and text share a key
+    out = sums.select("id", "n_tokens", "log_likelihood", F.explode(F.expr("array_repeat(0, cast(copies as int))")))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return out.select(F.col("id").alias(id_col), "n_tokens", "log_likelihood", mean.alias("mean_log_likelihood"))

@@ -415,6 +415,28 @@ def test_pseudo_likelihood_learns_order(spark):
     assert means[False] > means[True] + 0.5
 
 
+def test_pseudo_likelihood_counts_every_word(spark):
+    by_class = {}
+    for k in range(3000):
+        word = f"rare{k}"
+        for _, _, data, offs in slices(pa.array([word])):
+            by_class.setdefault(int(Words(data, offs, lower=True).hashes()[0] % 256), []).append(word)
+    common, seldom = next(v for v in by_class.values() if len(v) > 1)[:2]
+    texts = [" ".join(f"often{k}" for k in range(900))] * 30 + [f"{common} often1"] * 6 + [common, seldom, f"{common} {seldom}"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(38, f"{common} {seldom}")]
+    out = pseudo_likelihood.pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in out) == sorted(k for k, _ in rows)
+    score = {r.doc_id: r.log_likelihood for r in out}
+    assert abs(score[36] - score[37] - np.log(9 / 3)) < 1e-4
+
+
+def test_pseudo_likelihood_grows():
+    assert [pseudo_likelihood.class_count(n) for n in (0, 10**6, 10**8, 10**10)] == [1024, 1024, 2048, 16384]
+    for classes in (1024, 2048, 16384):
+        shapes = pseudo_likelihood.shapes(classes)
+        assert shapes["member_bias"][0] * shapes["member_bias"][1] == classes
+
+
 def test_kernel_words():
     texts = ["a  b\tc", None, "", " lead", "é x y", "tail "]
     for _, _, data, offs in slices(pa.array(texts)):
