@@ -17,15 +17,6 @@ from corpuslab.llm.shared import table, written
 from corpuslab.llm.toxicity import toxicity_scores
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ids are among ``ids``; null ids stay apart from all.
-
-    The ids are written first, so that the join meets plain shuffles, whose
-    skewed partitions Spark can split.
-    """
-    return docs.join(written(ids.select("doc_id").distinct(), "pipeline-kept"), "doc_id", "left_semi")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good."""
     scored = quality_scores(docs, table(spark, sf_dir, "labels"), carry=docs.columns)
@@ -39,9 +30,21 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id."""
-    groups = jaccard_components(docs, shingle_words=5, num=4, den=5)
-    return _kept(docs, groups.filter(F.col("doc_id") == F.col("component_id"))).dropDuplicates(["doc_id"])
+    """One row of each group of near copies: that of the smallest id, then of the smallest hash of its text.
+
+    Rows are told apart by id and text; without an id, or beside another text of
+    the same id, a row that is a copy of nothing stays.  So does every row
+    without words.  The keys are written first, so that the join meets plain
+    shuffles, whose skewed partitions Spark can split.
+    """
+    rows = jaccard_components(docs, shingle_words=5, num=4, den=5, row_keys=True).filter("group is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("row_id"), "text_hash"))
+    keys = ["no_id", "row_id", "text_hash"]
+    kept = written(rows.groupBy("group").agg(first.alias("row")).select("row.*"), "pipeline-kept")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.filter(worded).select("*", F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("row_id"), F.xxhash64("text").alias("text_hash"))
+    one = keyed.join(kept, keys, "left_semi").dropDuplicates(keys)
+    return one.select(*docs.columns).unionByName(docs.filter(~worded))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

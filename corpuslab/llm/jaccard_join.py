@@ -177,7 +177,7 @@ def tree_pairs(sizes, slack, bitmaps, comps, first, second, num: int, den: int):
         x, y, same = cx[ok], cy[ok], own[ok] & (cx[ok] == cy[ok])
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, num: int = 4, den: int = 5, sketch_bits: int = 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, num: int = 4, den: int = 5, sketch_bits: int = 20, row_keys: bool = False) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_shingles`` and ``component_id``.
 
     Two texts link when |A n B| / |A u B| >= num / den over their sets of
@@ -188,10 +188,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kept and treated as copies of their texts; a null id is never the smallest,
     unless nothing else is linked.  Shingles are compared by 52-bit hashes and
     sets named by 64-bit ones.  Other columns of ``docs`` are ignored.
+
+    With ``row_keys``, rows also bear ``text_hash``, the xxhash64 of the text, and
+    ``group``, equal for the rows of a component whatever their ids, and null for
+    wordless texts.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("key", F.coalesce("id", F.xxhash64("text")))  # rows without an id are found by their text
+    docs = docs.withColumn("mark", F.xxhash64("text") if row_keys else F.lit(0).cast("long"))
     levels = count_sketch(docs, shingle_words, sketch_bits)
     mask = np.uint64((1 << sketch_bits) - 1)
 
@@ -204,15 +209,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 order = np.argsort(doc.astype(np.uint64) << np.uint64(52) | level << np.uint64(44) | hashes >> np.uint64(8), kind="stable")
                 rank = np.arange(len(hashes)) - np.repeat(at[:-1], sizes)
                 take = rank < np.repeat(prefix_length(sizes, num, den), sizes)
-                ids, refs = (batch.column(c).slice(i, len(sizes)) for c in ("id", "key"))
+                ids, refs, marks = (batch.column(c).slice(i, len(sizes)) for c in ("id", "key", "mark"))
                 first = np.cumsum(take)[at[1:] - 1] if len(take) else np.zeros(len(sizes), np.int64)
                 ends = np.where(sizes > 0, first, 0)
                 ends = np.maximum.accumulate(ends) if len(ends) else ends
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(hashes[order][take].astype(np.int64)))
                 maps = pa.array(_bitmaps(sizes, at, hashes), pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, refs, pa.array(sizes.astype(np.int64)), pa.array(names), maps, tokens], ["id", "key", "n", "node", "bitmap", "tokens"])
+                yield pa.RecordBatch.from_arrays([ids, refs, marks, pa.array(sizes.astype(np.int64)), pa.array(names), maps, tokens], ["id", "key", "mark", "n", "node", "bitmap", "tokens"])
 
-    sets = written(docs.mapInArrow(prefixes, "id long, key long, n long, node long, bitmap binary, tokens array<long>"), "jaccard-sets")
+    sets = written(docs.mapInArrow(prefixes, "id long, key long, mark long, n long, node long, bitmap binary, tokens array<long>"), "jaccard-sets")
     released(spark)
     deal = sets.filter("n > 0").select("node", "n", F.explode("tokens").alias("token"))
     met = written(_shared_tokens(deal), "jaccard-met")
@@ -262,14 +267,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("rows"))
     named = written(copies.join(comp, "node", "left").filter("comp is not null or rows > 1").select("node", "low", F.coalesce("comp", "node").alias("comp")), "jaccard-named")
     lows = written(named.groupBy("comp").agg(F.min("low").alias("component_id")), "jaccard-lows")
-    named = written(named.join(lows, "comp").select("node", "component_id"), "jaccard-names")
+    named = written(named.join(lows, "comp").select("node", "component_id", "comp"), "jaccard-names")
     empty = F.xxhash64(F.col("id"), F.rand(7))  # wordless rows are dealt out evenly and match nothing
-    out = sets.select("id", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(empty).alias("node"))
+    out = sets.select("id", "mark", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(empty).alias("node"))
     out = out.join(named, "node", "left")
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"),
+        *([F.col("mark").alias("text_hash"), F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("group")] if row_keys else []),
     )
 
 

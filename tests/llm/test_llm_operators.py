@@ -470,3 +470,16 @@ def test_pipeline_stages_keep_the_columns(spark):
         now = {r.doc_id for r in out.collect()}
         assert now < before or name == "toxicity" and now <= before
         docs, before = out.cache(), now
+
+
+def test_jaccard_stage_loses_no_unique_text(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = text(0) + " end"
+    rows = [(1, text(0)), (5, near), (5, text(1)), (6, text(2)), (6, text(3)), (7, text(4)), (7, text(4))]
+    rows += [(None, text(5)), (None, near), (None, text(6)), (None, text(6)), (None, ""), (None, None), (8, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(map(tuple, corpus_pipeline.jaccard_stage(spark, docs, "").collect()))
+    want = [(1, text(0)), (5, text(1)), (6, text(2)), (6, text(3)), (7, text(4)), (None, text(5)), (None, text(6)), (None, ""), (None, None), (8, " ")]
+    assert got == Counter(want)
