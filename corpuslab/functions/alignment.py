@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import difflib
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -152,7 +153,16 @@ def word_alignment(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([alignment((r or "").split(), (h or "").split()) for r, h in zip(ref, hyp)])
 
 
+def agreement_words(text: str | None) -> list[str]:
+    """Words in lower case, hyphens as spaces, no other punctuation."""
+    return re.sub(r"[^\w\s]", " ", (text or "").lower().replace("ё", "е").replace("-", " ")).split()
+
+
+def words_ratio(a: list[str], b: list[str]) -> float | None:
+    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() if a and b else None
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matched characters over all, by longest matching blocks."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)])
+    """Twice the matched words over all, by longest matching blocks; null where a side has no words."""
+    return pd.Series([words_ratio(agreement_words(x), agreement_words(y)) for x, y in zip(a, b)], dtype="float64")

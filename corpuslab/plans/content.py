@@ -123,7 +123,7 @@ def m12(spark, d):
 
 @query("m13_window_agreement")
 def m13(spark, d):
-    ratios = turn_pairs(spark, d).select("conv_id", similarity_ratio(F.substring("ref", 1, 400), F.substring("hyp", 1, 400)).alias("ratio"))
+    ratios = spread(turn_pairs(spark, d), "conv_id", "turn").select("conv_id", similarity_ratio("ref", "hyp").alias("ratio"))
     return ratios.groupBy("conv_id").agg(F.round(F.median("ratio"), 6).alias("median_ratio"))
 
 

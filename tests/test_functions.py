@@ -130,3 +130,13 @@ def test_cleaning_reaches_a_fixed_point():
 
 def test_distance_table_shape():
     assert distances([], ["a"]).tolist() == [[0, 1]] and isinstance(distances(["a"], ["a"]), np.ndarray)
+
+
+def test_window_agreement_of_whole_turns(spark, tmp_path):
+    from corpuslab.plans.registry import QUERIES
+
+    same = "word " * 100
+    rows = [(1, 0, same + "a " * 100), (1, 1, same + "b " * 100), (2, 0, "Well-known, yes!"), (2, 1, "well known YES"), (3, 0, "..."), (3, 1, "one")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.median_ratio for r in QUERIES["m13_window_agreement"](spark, str(tmp_path)).collect()}
+    assert got == {1: 0.5, 2: 1.0, 3: None}
