@@ -72,28 +72,31 @@ def grams(words: list[str], n: int) -> Counter:
     return Counter(zip(*(words[k:] for k in range(n))))
 
 
-def back_to_back(words: list[str], n: int) -> dict[tuple, int]:
-    """Longest immediate repetition of each n-gram, counted from a scan that jumps over repeats."""
-    best: dict[tuple, int] = {}
-    at = 0
-    while at + n <= len(words):
-        gram, times = tuple(words[at : at + n]), 1
-        while tuple(words[at + times * n : at + (times + 1) * n]) == gram:
-            times += 1
-        best[gram] = max(best.get(gram, 0), times)
-        at += times * n if times > 1 else 1
-    return best
-
-
-def _own_run(words: list[str], gram: tuple) -> int:
-    best, at, n = 0, 0, len(gram)
-    while at + n <= len(words):
-        times = 0
-        while tuple(words[at + times * n : at + (times + 1) * n]) == gram:
-            times += 1
-        best = max(best, times)
-        at += max(1, times * n)
-    return best
+def _same_later(words: list[str], n: int) -> np.ndarray:
+    """For each place, over how many words the text goes on with period ``n``."""
+    codes = np.unique(words, return_inverse=True)[1] if words else np.zeros(0, int)
+    left = np.zeros(len(words) + 1, np.int64)
+    for begin, end in runs(codes[n:] == codes[:-n]) if len(words) > n else ():
+        left[begin:end] = np.arange(end - begin, 0, -1)
+    return left
+
+
+def repeated(words: list[str], n: int) -> list[tuple[tuple, int]]:
+    """(n-gram, times) of immediate repetitions, from left to right without overlap."""
+    left, out, free = _same_later(words, n), [], 0
+    for begin in np.flatnonzero(left >= n).tolist():
+        if begin >= free:  # the first place of a stretch that no earlier repetition covers
+            times = int(left[begin]) // n + 1
+            out.append((tuple(words[begin : begin + n]), times))
+            free = begin + times * n
+    return out
+
+
+def longest_run(words: list[str], gram: tuple) -> int:
+    """How often ``gram`` follows itself at most; 0 where it is not found."""
+    n = len(gram)
+    left = _same_later(words, n)
+    return max((int(left[k]) // n + 1 for k in range(len(words) - n + 1) if tuple(words[k : k + n]) == gram), default=0)
 
 
 def repetition(ref: list[str], hyp: list[str], sizes=range(3, 9)) -> tuple[float, int, int]:
@@ -104,9 +107,7 @@ def repetition(ref: list[str], hyp: list[str], sizes=range(3, 9)) -> tuple[float
         if positions > 0:
             rates.append(sum(max(0, (c - 1) - max(0, given[g] - 1)) for g, c in own.items()) / positions)
         most = max([most, *(c - max(1, given[g]) for g, c in own.items())])
-        for gram, times in back_to_back(hyp, n).items():
-            if times > longest:
-                longest = max(longest, times - (max(1, _own_run(ref, gram)) - 1))
+        longest = max([longest, *(times - max(1, longest_run(ref, gram)) + 1 for gram, times in repeated(hyp, n) if times > longest)])
     return (sum(rates) / len(rates) if rates else 0.0), longest, most
 
 

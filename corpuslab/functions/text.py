@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,21 +66,26 @@ def normalise_english(text: pd.Series) -> pd.Series:
     return text.map(_english, na_action=None)
 
 
-def chunks(text: str, limit: int = 135) -> list[str]:
-    """Sentences gathered greedily into pieces of at most ``limit`` UTF-8 bytes.
+# fixed values: where a text may be cut
+CLAUSE_END = r"(?<=[;:,.!?])\s+|(?<=[；：，。！？])"
 
-    A sentence that is longer by itself is kept whole as a piece of its own.
+
+def chunks(text: str | None, limit: int = 135) -> list[str]:
+    """Clauses gathered into pieces of at most ``limit`` UTF-8 bytes, each as long as it can be.
+
+    A clause that is longer by itself is a piece of its own.  Clauses are joined
+    by a blank after an ASCII character, else by nothing.
     """
-    pieces, held, size = [], [], 0
-    for sentence in re.split(r"(?<=[;:,.!?])\s+|(?<=[；：，。！？])", text or ""):
-        if not sentence:
-            continue
-        if held and size + len(sentence.encode()) > limit:
-            pieces.append("".join(held).strip())
-            held, size = [], 0
-        held.append(sentence + " " if ord(sentence[-1]) < 128 else sentence)
-        size += len(held[-1].encode())
-    return pieces + (["".join(held).strip()] if held else [])
+    clauses = [c for c in re.split(CLAUSE_END, text or "") if c]
+    sizes = np.array([len(c.encode()) for c in clauses], np.int64)
+    blanks = np.array([c[-1].isascii() for c in clauses], np.int64)
+    begins = np.cumsum(sizes + blanks) - sizes - blanks  # in the joined text, in bytes
+    pieces, at = [], 0
+    while at < len(clauses):
+        stop = max(at + 1, int(np.searchsorted(begins + sizes, begins[at] + limit, "right")))
+        pieces.append("".join(c + " " * b for c, b in zip(clauses[at:stop], blanks[at:stop].tolist())).strip())
+        at = stop
+    return pieces
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
