@@ -2,36 +2,54 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+HELD_BITS = 1 << 20  # of the map that tells which grams the held-out side may have
+
+
 def shingles(tokens: Column, n: int) -> Column:
-    """Distinct n-word shingles; a shorter text is one shingle, an empty one has none."""
-    # the token array is zipped with itself, shifted; a lambda over positions would cut the text anew for each one
-    many = tokens
-    for k in range(1, n):
-        shifted = F.slice(tokens, F.lit(k + 1), F.greatest(F.size(tokens) - k, F.lit(0)))
-        many = F.zip_with(many, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
-    many = F.filter(many, lambda g: g.isNotNull())
-    whole = F.when(F.size(tokens) > 0, F.array(F.array_join(tokens, " "))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.when(F.size(tokens) >= n, many).otherwise(whole))
+    """Distinct n-word shingles as 64-bit hashes; a shorter text is one shingle, an empty one has none.
 
+    ``tokens`` should be a column, not an expression: it is read several times.
+    """
+    hashes = F.transform(tokens, lambda w: F.xxhash64(w))
+    count = F.size(tokens) - (n - 1)
+    many = F.slice(hashes, F.lit(1), F.greatest(count, F.lit(0)))
+    for k in range(1, n):  # each shingle's hash takes in the word k places on
+        many = F.zip_with(many, F.slice(hashes, F.lit(k + 1), F.greatest(count, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    whole = F.array(F.aggregate(hashes, F.size(tokens).cast("long"), lambda s, x: F.xxhash64(x, s)))
+    return F.array_distinct(F.when(count > 0, many).when(F.size(tokens) > 0, whole).otherwise(F.array().cast("array<bigint>")))
 
-def gram_table(df: DataFrame, key: str, tokens: Column, n: int) -> DataFrame:
-    """(key, gram, size) with one row per distinct shingle; grams as 64-bit hashes."""
+
+def gram_sets(df: DataFrame, key: str, tokens: Column, n: int) -> DataFrame:
+    """(key, size, grams) with the distinct shingles of each text."""
     # tokens in a step of their own: inside the lambdas they would be cut anew for each shingle
     sets = df.select(F.col(key), tokens.alias("tokens")).select(key, shingles(F.col("tokens"), n).alias("grams"))
-    return sets.select(key, F.size("grams").alias("size"), F.explode("grams").alias("gram")).withColumn("gram", F.xxhash64("gram"))
+    return sets.select(key, F.size("grams").alias("size"), "grams")
+
+
+def gram_table(df: DataFrame, key: str, tokens: Column, n: int) -> DataFrame:
+    """(key, size, gram) with one row per distinct shingle."""
+    return gram_sets(df, key, tokens, n).select(key, "size", F.explode("grams").alias("gram"))
 
 
 def shared_grams(held: DataFrame, train: DataFrame, held_key: str, train_key: str) -> DataFrame:
-    """Pairs with a common shingle: their count and Jaccard similarity.
+    """Pairs with a common shingle, of a gram table and of gram sets: their count and Jaccard similarity.
 
-    The held-out side is the small one; grams that it lacks are dropped from the
-    other side before the counting shuffle.
+    A map of fixed size over the held-out side's grams thins the sets of the
+    other side before they are exploded; the join decides.
     """
-    t = train.select(F.col(train_key), F.col("gram"), F.col("size").alias("train_size"))
+    place = lambda g: F.pmod(g, F.lit(HELD_BITS)).cast("int")
+    spots = held.select(F.floor(place(F.col("gram")) / 64).cast("int").alias("w"), (place(F.col("gram")) % 64).alias("b")).distinct()
+    words = np.zeros(HELD_BITS // 64, np.int64)
+    for w, bits in spots.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)"))).collect():  # HELD_BITS / 64 rows at most
+        words[w] = bits
+    held_map = F.lit(np.unpackbits(words.view(np.uint8), bitorder="little").tobytes())
+    some = F.filter("grams", lambda g: F.substr(held_map, place(g) + 1, F.lit(1)) == F.lit(b"\x01"))
+    t = train.select(train_key, F.col("size").alias("train_size"), F.explode(some).alias("gram"))
     pairs = held.join(t, "gram").groupBy(held_key, train_key).agg(F.count("*").alias("n_shared"), F.first("size").alias("a"), F.first("train_size").alias("b"))
     return pairs.select(held_key, train_key, "n_shared", (F.col("n_shared") / (F.col("a") + F.col("b") - F.col("n_shared"))).alias("jaccard"))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..operators.clustering import average_linkage
-from ..operators.leakage import dot, gram_table, group_similarity, max_jaccard, mean_vectors, shared_grams, shingles
+from ..operators.leakage import dot, gram_sets, gram_table, group_similarity, max_jaccard, mean_vectors, shared_grams, shingles
+from ..operators.sequences import top_per_group
 from .base import query, spread, table
 
 GRAMS = r"""WITH toks AS (SELECT 'd' AS side, doc_id AS id, list_filter(string_split_regex(lower(text), '[ \t\n\r]+'), lambda w: w <> '') AS w FROM documents UNION ALL SELECT 'b', item_id, list_filter(string_split_regex(lower(text), '[ \t\n\r]+'), lambda w: w <> '') FROM benchmark),
@@ -19,7 +20,7 @@ pairs AS (SELECT b.id AS item_id, d.id AS doc_id, count(*) AS n_shared, count(*)
 def pairs(spark, d):
     docs, items = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), table(spark, d, "benchmark")
     tokens = words(F.lower("text"))
-    return items, shared_grams(gram_table(items, "item_id", tokens, 8), gram_table(docs, "doc_id", tokens, 8), "item_id", "doc_id")
+    return items, shared_grams(gram_table(items, "item_id", tokens, 8), gram_sets(docs, "doc_id", tokens, 8), "item_id", "doc_id")
 
 
 @query("l1_max_shingle_jaccard", GRAMS + """, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY jaccard DESC, doc_id DESC) AS k FROM pairs)
@@ -46,8 +47,11 @@ def l1_counts(spark, d):
 WITH s AS (SELECT sha256(text) AS h, doc_id FROM documents), h AS (SELECT h, list_sort(list(doc_id)) AS ids FROM s GROUP BY h HAVING count(*) > 1)
 SELECT h AS text_hash, len(ids) AS n, array_to_string(ids[1:5], ',') AS examples FROM h""")
 def l2(spark, d):
-    s = table(spark, d, "documents").select(F.sha2("text", 256).alias("text_hash"), "doc_id").groupBy("text_hash").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    return s.filter(F.size("ids") > 1).select("text_hash", F.size("ids").alias("n"), F.array_join(F.slice("ids", 1, 5).cast("array<string>"), ",").alias("examples"))
+    s = table(spark, d, "documents").select(F.sha2("text", 256).alias("text_hash"), "doc_id")
+    groups = s.groupBy("text_hash").agg(F.count("*").cast("int").alias("n")).filter("n > 1")
+    first = top_per_group(s, ["text_hash"], [F.col("doc_id")], 5)  # cut to five rows of a group before the shuffle
+    examples = first.groupBy("text_hash").agg(F.array_join(F.sort_array(F.collect_list("doc_id")).cast("array<string>"), ",").alias("examples"))
+    return groups.join(examples, "text_hash")
 
 
 @query("l3_leakage_contract", GRAMS + """ SELECT (SELECT count(*) FROM benchmark b JOIN documents d ON b.text = d.text) AS n_exact, round((SELECT max(jaccard) FROM pairs), 6) AS worst, (SELECT count(DISTINCT item_id) FROM pairs WHERE jaccard > 0.05) AS n_over, (SELECT coalesce(max(jaccard), 0) FROM pairs) <= 0.05 AS passed""")
@@ -87,8 +91,6 @@ def l5(spark, d):
 
 @query("j10_top_neighbours", MEANS + ", r AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY c DESC, r) AS k FROM s) SELECT l AS label, k AS place, r AS neighbour, round(c, 5) AS cosine FROM r WHERE k <= 3")
 def j10(spark, d):
-    from ..operators.sequences import top_per_group
-
     s = group_similarity(mean_vectors(table(spark, d, "embeddings"), "label", "embedding"), "label")
     top = top_per_group(s, ["left"], [F.desc("cosine"), F.col("right")], 3)
     from pyspark.sql import Window

@@ -51,9 +51,9 @@ def s7(spark, d):
     return tracks.select("conv_id", F.inline(word_track(F.col("ts"))))
 
 
-@query("s8_key_values", "SELECT 'c' || conv_id AS key, string_agg(text, ' ' ORDER BY turn) AS value FROM conversations WHERE turn < 2 GROUP BY 1")
+@query("s8_key_values", "SELECT 'c' || conv_id AS key, string_agg(text, ' ' ORDER BY turn) AS value FROM conversations GROUP BY 1")
 def s8(spark, d):
-    lines = table(spark, d, "conversations").filter("turn < 2").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("t"))
+    lines = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("t"))
     parts = F.split(F.concat(F.lit("c"), F.col("conv_id"), F.lit(" "), F.col("t")), " ", 2)
     return lines.select(parts[0].alias("key"), parts[1].alias("value"))
 

@@ -26,9 +26,9 @@ def x2(spark, d):
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", normalise_lenient("text").alias("norm"))
 
 
-@query("x4_english_normalise", r"""SELECT doc_id, trim(regexp_replace(strip_accents(translate(lower(text), '''’‘`´ʼ', '')), '[^a-z0-9]+', ' ', 'g')) AS norm FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')""")
+@query("x4_english_normalise", r"""SELECT doc_id, trim(regexp_replace(strip_accents(translate(lower(text), '''’‘`´ʼ', '')), '[^a-z0-9]+', ' ', 'g')) AS norm FROM documents""")
 def x4(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en'").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return docs.select("doc_id", normalise_english("text").alias("norm"))
 
 
@@ -77,9 +77,13 @@ def x11(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(rate_per_hundred(F.lower("text"), r"\b(the|and|of)\b"), 6).alias("density"))
 
 
-@query("x12_transliterate", r"SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\bthe\b', 'зе', 'g'), '\bThe\b', 'Зе', 'g') AS text FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F0-9_]') AND NOT regexp_matches(text, '[0-9_]') AND NOT regexp_matches(text, '\b(T[hH]E|tHe|THe|thE|tHE)\b')")
+# a whole Latin word; each pass misses one that shares its border with a word replaced before
+LATIN_THE = "regexp_replace({}, '(^|[^A-Za-z]){}[hH][eE]($|[^A-Za-z])', '\\1{}\\2', 'g')"
+
+
+@query("x12_transliterate", "SELECT conv_id, turn, " + LATIN_THE.format(LATIN_THE.format(LATIN_THE.format(LATIN_THE.format("text", "t", "зе"), "t", "зе"), "T", "Зе"), "T", "Зе") + " AS text FROM conversations")
 def x12(spark, d):
-    rows = table(spark, d, "conversations").filter(~F.col("text").rlike(r"[^\x00-\x7F]") & ~F.col("text").rlike("[0-9_]") & ~F.col("text").rlike(r"\b(T[hH]E|tHe|THe|thE|tHE)\b"))
+    rows = table(spark, d, "conversations")
     return rows.select("conv_id", "turn", transliterated(F.col("text"), {"the": "зе"}).alias("text"))
 
 

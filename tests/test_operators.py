@@ -14,7 +14,7 @@ from corpuslab.operators import statistics as S
 from corpuslab.operators.clustering import average_linkage
 from corpuslab.operators.content import final_status, flow_status
 from corpuslab.operators.funnel import require, violations
-from corpuslab.operators.leakage import gram_table, max_jaccard, shared_grams
+from corpuslab.operators.leakage import gram_sets, gram_table, max_jaccard, shared_grams
 from corpuslab.sources import tables
 from corpuslab.streaming.windows import run_to_end, sessions, state_folder, tumbling, with_event_time
 
@@ -171,7 +171,7 @@ def test_short_and_empty_texts_in_leakage(spark):
     items = spark.createDataFrame([(1, "a b"), (2, ""), (3, "x y z w")], "item_id int, text string")
     docs = spark.createDataFrame([(7, "a b"), (8, "x y z w v"), (9, "")], "doc_id int, text string")
     tokens = F.filter(F.split("text", " "), lambda w: w != "")
-    found = shared_grams(gram_table(items, "item_id", tokens, 3), gram_table(docs, "doc_id", tokens, 3), "item_id", "doc_id")
+    found = shared_grams(gram_table(items, "item_id", tokens, 3), gram_sets(docs, "doc_id", tokens, 3), "item_id", "doc_id")
     out = {r.item_id: (round(r.jaccard, 4), r.nearest) for r in max_jaccard(items, found, "item_id", "doc_id").collect()}
     assert out == {1: (1.0, [7]), 2: (0.0, None), 3: (0.6667, [8])}
 
