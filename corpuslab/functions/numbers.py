@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 # fixed values: number words
 UNITS = "ноль один два три четыре пять шесть семь восемь девять десять одиннадцать двенадцать тринадцать четырнадцать пятнадцать шестнадцать семнадцать восемнадцать девятнадцать".split()
 TENS = "двадцать тридцать сорок пятьдесят шестьдесят семьдесят восемьдесят девяносто".split()
@@ -64,3 +69,24 @@ def spoken(run: str) -> str:
     if len(run) > LONGEST or (run[0] == "0" and run.strip("0")):
         return digit_by_digit(run)
     return cardinal(int(run))
+
+
+@F.pandas_udf(T.StringType())
+def cardinals(value: pd.Series) -> pd.Series:
+    return value.map(lambda v: None if pd.isna(v) else cardinal(int(v)), na_action=None)
+
+
+def cardinal_words(run: Column) -> Column:
+    """How many words the cardinal of a run of digits has, by arithmetic on its groups of three."""
+    digits = F.regexp_replace(run, "^0+(?=.)", "")
+    groups = F.ceil(F.length(digits) / 3).cast("int")
+    padded = F.lpad(digits, groups * 3, "0")
+
+    def of_group(k: Column) -> Column:
+        n = F.substr(padded, k * 3 + 1, F.lit(3)).cast("int")
+        rest = n % 100
+        own = (n >= 100).cast("int") + (rest > 0).cast("int") + ((rest > 20) & (rest % 10 > 0)).cast("int")
+        return own + ((n > 0) & (k < groups - 1)).cast("int")
+
+    total = F.aggregate(F.sequence(F.lit(0), groups - 1), F.lit(0), lambda s, k: s + of_group(k))
+    return F.when(groups > len(MILLIONS) + 2, F.length(digits)).otherwise(F.greatest(total, F.lit(1)))

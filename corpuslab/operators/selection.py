@@ -9,27 +9,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running_sum
 
-def capped_greedy(df: DataFrame, group: str, order: list[Column], size: str, cap: float, budget: float) -> DataFrame:
-    """Rows taken in order while their group has room, until the budget is met.
+
+def capped_greedy(df: DataFrame, group: str, key: Column, tie: Column, size: str, cap: float, budget: float) -> DataFrame:
+    """Rows taken in order of ``key``, then ``tie``, while their group has room, until the budget is met.
 
     A row that its group has no room for is skipped and frees the budget for later
-    ones.  The cap looks at the row's own group alone, so groups are folded one by
-    one; the budget only ends the walk, so a running sum over the accepted rows of
-    all groups cuts it: a row stays if those before it have not met the budget.
+    ones.  The cap looks at the row's own group alone, so each group is walked
+    through by a task, its sizes as one array; the budget only ends the walk, so a
+    running sum over the accepted rows of all groups cuts it: a row stays if those
+    before it have not met the budget.
     """
-    ranked = df.withColumn("__o", F.struct(*order))
-    items = F.sort_array(F.collect_list(F.struct("__o", F.struct(*df.columns).alias("row"))))
-    room = ranked.groupBy(group).agg(items.alias("items"))
-    start = F.struct(F.lit(0.0).alias("used"), F.array().cast(f"array<{df.schema.simpleString()}>").alias("taken"))
-
-    def step(state, item):
-        new = state["used"] + item["row"][size].cast("double")
-        return F.when(new <= cap, F.struct(new.alias("used"), F.concat(state["taken"], F.array(item["row"])).alias("taken"))).otherwise(state)
-
-    taken = room.select(F.explode(F.aggregate("items", start, step)["taken"]).alias("row")).select("row.*")
-    before = F.coalesce(F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return taken.withColumn("__before", before).filter(F.col("__before") < budget).drop("__before")
+    schema = df.schema
+    rows = df.withColumns({"__key": key, "__tie": tie})
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["__key", "__tie"], kind="stable")
+        sizes, taken, used, at = pdf[size].to_numpy(float), [], 0.0, 0
+        sums = np.concatenate([[0.0], np.cumsum(sizes)])
+        while at < len(sizes):
+            # all that fit one after the other, then on to the next row that is small enough
+            stop = max(at, int(np.searchsorted(sums, sums[at] + cap - used, "right")) - 1)
+            taken += range(at, stop)
+            used += float(sums[stop] - sums[at])
+            later = np.flatnonzero(sizes[stop:] <= cap - used)
+            at = stop + int(later[0]) if len(later) else len(sizes)
+        return pdf.iloc[taken][schema.names]
+
+    taken = rows.groupBy(group).applyInPandas(walk, schema)
+    return running_sum(taken, key, F.col(size), "__before", tie).filter(F.col("__before") < budget).drop("__before")
 
 
 def segment(lines: list[tuple[float, float]], least: float, most: float, ideal: float) -> list[tuple[int, int]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,16 +47,57 @@ def smoothed(values: Column, alpha: float) -> Column:
     return F.aggregate(values, F.lit(None).cast("double"), step)
 
 
+def median_slope(x: np.ndarray, y: np.ndarray, hold: int = 1 << 21) -> float | None:
+    """Median of the slopes of all pairs of points with different x, holding ``hold`` slopes at most.
+
+    With more pairs, walks over them count the slopes up to a value, which
+    bisection moves to the middle one.
+    """
+    n = len(x)
+    step = max(1, hold // (2 * max(n, 1)))
+
+    def blocks():
+        for b in range(0, n, step):
+            dx, dy = x[None, :] - x[b : b + step, None], y[None, :] - y[b : b + step, None]
+            use = (np.arange(n)[None, :] > np.arange(b, min(b + step, n))[:, None]) & (np.abs(dx) > 1e-12)
+            yield dy[use] / dx[use]
+
+    sizes = [(len(s), s.min(), s.max()) for s in blocks() if len(s)]
+    total = sum(n for n, _, _ in sizes)
+    if not total:
+        return None
+    if total <= hold:
+        return float(np.median(np.concatenate(list(blocks()))))
+    # whole numbers in the order of the floats they stand for
+    order = lambda v: (lambda i: i ^ (i >> 63 & (1 << 63) - 1))(int(np.float64(v).view(np.int64)))
+    value = lambda i: np.int64(i ^ (i >> 63 & (1 << 63) - 1)).view(np.float64)
+    low, high = order(min(m for _, m, _ in sizes)), order(max(m for _, _, m in sizes))
+    while low < high:  # the least value that enough slopes do not exceed
+        middle = (low + high) // 2
+        if sum(int((s <= value(middle)).sum()) for s in blocks()) > (total - 1) // 2:
+            high = middle
+        else:
+            low = middle + 1
+    first = float(value(low))
+    if sum(int((s <= first).sum()) for s in blocks()) > total // 2:
+        return first
+    return (first + float(min(s[s > first].min(initial=np.inf) for s in blocks()))) / 2
+
+
 def theil_sen(df: DataFrame, group: str, x: str, y: str, out: str = "slope") -> DataFrame:
     """Median of the slopes of all pairs in a group; pairs of equal x are left out.
 
-    Groups are meant to be single tracks of bounded length; a group without a
-    usable pair has a null slope.
+    A task holds one group's points and a bounded number of slopes, whatever the
+    length of the track; a group without a usable pair has a null slope, and
+    points with a null coordinate take no part.
     """
-    points = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("p"))
-    pairs = F.flatten(F.transform("p", lambda a, i: F.transform(F.filter("p", lambda b, j: (j > i) & (F.abs(b["x"] - a["x"]) > 1e-12)), lambda b: (b["y"] - a["y"]) / (b["x"] - a["x"]))))
-    slopes = points.select(group, F.explode_outer(pairs).alias("s"))
-    return slopes.groupBy(group).agg(F.median("s").alias(out))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        points = pdf.dropna(subset=["__x", "__y"]).sort_values(["__x", "__y"])
+        return pd.DataFrame({group: pdf[group].iloc[:1], out: [median_slope(points["__x"].to_numpy(float), points["__y"].to_numpy(float))]})
+
+    rows = df.select(group, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    return rows.groupBy(group).applyInPandas(run, f"`{group}` {df.schema[group].dataType.simpleString()}, `{out}` double")
 
 
 def spearman(df: DataFrame, group: str, x: str, y: str, out: str = "rho") -> DataFrame:
@@ -66,3 +109,31 @@ def spearman(df: DataFrame, group: str, x: str, y: str, out: str = "rho") -> Dat
 
     ranked = df.select(group, rank(x).alias("rx"), rank(y).alias("ry"))
     return ranked.groupBy(group).agg(F.when(F.count("*") >= 3, F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))).alias(out))
+
+
+def voiced_windows(df: DataFrame, group: str, start: str, end: str, size: float, hop: float, tail: float) -> DataFrame:
+    """Windows of ``size`` on the timeline of a group's merged intervals alone, every ``hop``.
+
+    A last window that ends with the timeline is added where more than ``tail``
+    of it would be left out.  Each window has its place on that timeline and the
+    times it lies between; a group with less than ``size`` in all has none.
+    Places are mapped back by a running look at the interval before them, so no
+    window is compared with all intervals.
+    """
+    by = Window.partitionBy(group).orderBy(start)
+    spans = merge_intervals(df.select(group, start, end), group, start, end)
+    spans = spans.select(group, start, (F.col(end) - F.col(start)).alias("length"))
+    spans = spans.withColumn("at", F.coalesce(F.sum("length").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    totals = spans.groupBy(group).agg(F.max(F.col("at") + F.col("length")).alias("total")).filter(F.col("total") >= size)
+    last = F.floor((F.col("total") - size) / hop)
+    regular = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: k * F.lit(float(hop)))
+    rest = F.when(F.col("total") - (last * F.lit(float(hop)) + size) > tail, F.array(F.col("total") - size)).otherwise(F.array().cast("array<double>"))
+    places = totals.select(group, F.explode(F.concat(regular, rest)).alias("voiced_start"))
+    # at one place, a window ends before the next interval begins, and another window begins in it
+    marks = spans.select(group, F.col("at").alias("place"), F.lit(0).alias("kind"), (F.col(start) - F.col("at")).alias("shift"), F.lit(None).cast("double").alias("voiced_start"))
+    for kind, place in ((1, F.col("voiced_start")), (-1, F.col("voiced_start") + size)):
+        marks = marks.unionByName(places.select(group, place.alias("place"), F.lit(kind).alias("kind"), F.lit(None).cast("double").alias("shift"), "voiced_start"))
+    before = Window.partitionBy(group).orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    times = marks.withColumn("time", F.col("place") + F.last("shift", True).over(before)).filter("kind <> 0")
+    side = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("time")))
+    return times.groupBy(group, "voiced_start").agg(side(1).alias(start), side(-1).alias(end))

@@ -35,6 +35,47 @@ def draws(spark, resamples: int, clusters: int, seed: int) -> DataFrame:
     return grid.select("resample", index.alias("index")).groupBy("resample", "index").agg(F.count("*").alias("times"))
 
 
+def draws_by_count(counts: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """(clusters, resample, index, times): one set of draws for each number of clusters in ``counts``."""
+    grid = counts.select("clusters").distinct().withColumn("resample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
+    grid = grid.withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("clusters") - 1)))
+    index = (hash_int(F.lit(seed), F.col("resample"), F.col("draw")) % F.col("clusters")).cast("int")
+    return grid.select("clusters", "resample", index.alias("index")).groupBy("clusters", "resample", "index").agg(F.count("*").alias("times"))
+
+
+def analysis(values: DataFrame, drawn: DataFrame, crossed: DataFrame, contrasts: list[tuple[str, str]], alpha: float = 0.05) -> DataFrame:
+    """Estimates and intervals of all cells, arms, contrasts, metrics and methods, a row each.
+
+    ``values`` has sums ``s`` and counts ``n`` by cell, arm, metric and the two
+    numbered levels ``a`` (sources) and ``b`` (voices); ``drawn`` and ``crossed``
+    tell how often a resample draws each source and each voice.  The method
+    ``source`` keeps the voices, ``crossed`` multiplies both.
+    """
+    keys = ["cell", "metric", "arm"]
+    rows = values.join(drawn.select("resample", F.col("index").alias("a"), F.col("times").alias("ta")), "a")
+    rows = rows.join(crossed.select("resample", F.col("index").alias("b"), F.col("times").alias("tb")), ["resample", "b"], "left")
+    weights = F.explode(F.create_map(F.lit("source"), F.col("ta"), F.lit("crossed"), F.col("ta") * F.coalesce("tb", F.lit(0)))).alias("method", "w")
+    rows = rows.select("resample", *keys, "s", "n", weights)
+    means = rows.groupBy(*keys, "method", "resample").agg(F.try_divide(F.sum(F.col("s") * F.col("w")), F.sum(F.col("n") * F.col("w"))).alias("mean"))
+    points = values.groupBy(*keys).agg((F.sum("s") / F.sum("n")).alias("estimate"), F.sum("n").alias("n_attempts"))
+    out = interval(means, (*keys, "method"), alpha).join(points, keys).withColumnRenamed("arm", "arm_a").withColumn("arm_b", F.lit(None).cast("string"))
+    for a, b in contrasts:
+        left, right = (df.filter(F.col("arm") == arm).drop("arm") for df, arm in ((means, a), (means, b)))
+        on = ["cell", "metric", "method", "resample"]
+        delta = left.join(right.withColumnRenamed("mean", "other"), on).select(*on, (F.col("mean") - F.col("other")).alias("mean"))
+        left, right = (points.filter(F.col("arm") == arm).drop("arm") for arm in (a, b))
+        point = left.join(right.select("cell", "metric", F.col("estimate").alias("other")), ["cell", "metric"])
+        point = point.select("cell", "metric", (F.col("estimate") - F.col("other")).alias("estimate"), "n_attempts")
+        own = interval(delta, ("cell", "metric", "method"), alpha).join(point, ["cell", "metric"])
+        out = out.unionByName(own.withColumns({"arm_a": F.lit(a), "arm_b": F.lit(b)}))
+    return out
+
+
+def content_only(payload: DataFrame, dependent: tuple[str, ...]) -> DataFrame:
+    """An analysis without the metrics, and the counts, that depend on a floor."""
+    return payload.filter(~F.col("metric").isin(*dependent)).drop("n_attempts")
+
+
 def bootstrap_means(sums: DataFrame, drawn: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Mean of each resample: drawn cluster sums over drawn counts; null if nothing is drawn."""
     rows = drawn.join(F.broadcast(sums), "index")  # one row per cluster and cell

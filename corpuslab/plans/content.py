@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.alignment import similarity_ratio, word_alignment, word_metrics
-from ..functions.text import normalise_plain, words
+from ..functions.roots import prepared_roots
+from ..functions.text import normalise_english, normalise_lenient, normalise_plain, words
 from ..operators.content import excess_repetition, final_status, flow_status, restricted_words
 from .base import query, spread, table
 from .joins import SPANS, event_spans
@@ -131,3 +132,32 @@ def m13(spark, d):
 @query("m15_stable_words", r"SELECT conv_id, CAST(sum(least(40, len(list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')))) AS BIGINT) AS stable FROM conversations GROUP BY 1")
 def m15(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(restricted_words(F.size(words(F.col("text"))), 40)).alias("stable"))
+
+
+@query("z34_english_metrics")
+def z34(spark, d):
+    """Content metrics under English normalisation on both sides."""
+    pairs = spread(turn_pairs(spark, d), "conv_id", "turn").withColumns({"ref": normalise_english("ref"), "hyp": normalise_english("hyp")})
+    return pairs.select("conv_id", "turn", word_metrics("ref", "hyp").alias("m")).select("conv_id", "turn", "m.*")
+
+
+@query("z71_covered_from_texts")
+def z71(spark, d):
+    """The covered region's errors, from texts as they are: normalised leniently, aligned, counted."""
+    pairs = spread(turn_pairs(spark, d), "conv_id", "turn").withColumns({"ref": normalise_lenient("ref"), "hyp": normalise_lenient("hyp")})
+    m = pairs.select("conv_id", "turn", word_metrics("ref", "hyp").alias("m"))
+    return m.select("conv_id", "turn", "m.wer_covered", "m.covered_words", "m.covered_errors", F.try_divide("m.covered_words", "m.n_ref").alias("covered_share"))
+
+
+@query("z42_cache_bytes", r"""SELECT doc_id, 2 * 24 * 8 * 128 * 2 * CAST(len(list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS BIGINT) AS cache_bytes FROM documents""")
+def z42(spark, d):
+    """Bytes of keys and values that a text's positions take: two of each layer, head and dimension."""
+    layers, heads, width, number_bytes = 24, 8, 128, 2
+    return table(spark, d, "documents").select("doc_id", (F.size(words(F.col("text"))).cast("long") * (2 * layers * heads * width * number_bytes)).alias("cache_bytes"))
+
+
+@query("z30_prepared_roots")
+def z30(spark, d):
+    """Conversations as roots, a turn a group of ten seconds: windowed, rejected or cleaned."""
+    groups = table(spark, d, "conversations").select("conv_id", (F.col("turn") * 10.0).alias("start"), (F.col("turn") * 10.0 + 9).alias("end"), "text")
+    return prepared_roots(groups, "conv_id", window=60.0, look=20.0, latest=30.0, opening=r"\b(hello|welcome)\b", forbid_latin=False)

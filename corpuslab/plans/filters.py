@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.disfluency import TOKEN
+from ..functions.numbers import cardinal_words
 from ..operators.funnel import first_reason, funnel, hash_share, reason_counts, reject_reasons, violations
 from .base import query, table
 
@@ -187,3 +189,20 @@ def f18(spark, d):
     rate = (F.col("subs") + F.col("dels")) / F.col("n")
     sound = (total == F.col("n")) & (F.col("n") > 0) & (F.abs(rate - (F.col("n") - F.col("hits")) / F.col("n")) <= 1e-10)
     return rows.filter(~sound).select("l_orderkey", "l_linenumber", "n", total.alias("total"))
+
+
+@query("f9_numeral_cost", r"""
+WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS run FROM documents), z AS (SELECT doc_id, regexp_replace(run, '^0+([0-9])', '\1') AS z FROM r),
+g AS (SELECT doc_id, z, CAST(ceil(length(z) / 3.0) AS BIGINT) AS k, lpad(z, CAST(ceil(length(z) / 3.0) * 3 AS INTEGER), '0') AS p FROM z),
+n AS (SELECT doc_id, z, k, [CAST(substr(p, CAST(3 * i + 1 AS BIGINT), 3) AS INTEGER) for i in range(k)] AS n FROM g),
+w AS (SELECT doc_id, CASE WHEN k > 9 THEN length(z) ELSE greatest(1, list_sum([(x >= 100)::INT + (x % 100 > 0)::INT + (x % 100 > 20 AND x % 10 > 0)::INT for x in n]) + list_sum([(x > 0)::INT for x in n]) - (n[-1] > 0)::INT) END AS w FROM n),
+t AS (SELECT doc_id, sum(w) AS produced FROM w GROUP BY 1),
+c AS (SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '[0-9]+', ' ', 'g'), '[А-Яа-яЁёA-Za-z]+(?:[-’''][А-Яа-яЁёA-Za-z]+)*')) AS others FROM documents)
+SELECT doc_id, CAST(coalesce(produced, 0) AS BIGINT) AS produced, CAST(coalesce(produced, 0) + others AS BIGINT) AS total, round(coalesce(produced, 0) / greatest(1, coalesce(produced, 0) + others), 6) AS share FROM c LEFT JOIN t USING (doc_id)""")
+def f9(spark, d):
+    """Words that reading out all digit runs adds, and their share."""
+    produced = F.aggregate(F.regexp_extract_all("text", F.lit("([0-9]+)")), F.lit(0).cast("long"), lambda s, run: s + cardinal_words(run))
+    others = F.regexp_count(F.regexp_replace("text", "[0-9]+", " "), F.lit(TOKEN.pattern))
+    counts = table(spark, d, "documents").select("doc_id", produced.alias("produced"), others.alias("others"))
+    total = F.col("produced") + F.col("others")
+    return counts.select("doc_id", "produced", total.alias("total"), F.round(F.col("produced") / F.greatest(F.lit(1), total), 6).alias("share"))

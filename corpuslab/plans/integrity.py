@@ -101,10 +101,10 @@ def z17(spark, d):
     return g.groupBy("item", "seed").agg(F.count("*").alias("n_arms"), F.sum("n").alias("n"), F.round(F.max("m") - F.min("m"), 8).alias("spread")).filter("n_arms = 3")
 
 
-@query("z18_complete_grid", "WITH g AS (SELECT DISTINCT user_id, event_type FROM events), f AS (SELECT * FROM (SELECT DISTINCT user_id FROM events), (SELECT DISTINCT event_type FROM events)) SELECT user_id, event_type, 'missing' AS problem FROM (SELECT * FROM f EXCEPT SELECT * FROM g)")
+@query("z18_complete_grid", "WITH g AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 90), f AS (SELECT * FROM (SELECT DISTINCT user_id FROM g), (SELECT DISTINCT event_type FROM g)) SELECT user_id, event_type, 'missing' AS problem FROM (SELECT * FROM f EXCEPT SELECT * FROM g)")
 def z18(spark, d):
-    g = table(spark, d, "events").select("user_id", "event_type").distinct()
-    design = g.select("user_id").distinct().crossJoin(F.broadcast(g.select("event_type").distinct()))  # a fixed vocabulary of types
+    g = table(spark, d, "events").filter("value > 90").select("user_id", "event_type").distinct()
+    design = g.select("user_id").distinct().crossJoin(g.select("event_type").distinct())  # the grid is what is asked for
     return design.exceptAll(g).withColumn("problem", F.lit("missing"))
 
 
@@ -197,7 +197,7 @@ def z41(spark, d):
 def z44(spark, d):
     t = table(spark, d, "benchmark").filter(F.col("item_id").cast("string").rlike("^1")).select("item_id")
     v = table(spark, d, "nation").filter(F.col("n_name").rlike("1$")).select("n_name")
-    grid = t.crossJoin(F.broadcast(v)).withColumn("seed", F.explode(F.array(F.lit(11), F.lit(12))))  # a design of items, voices and seeds
+    grid = t.crossJoin(v).withColumn("seed", F.explode(F.array(F.lit(11), F.lit(12))))  # a design of items, voices and seeds
     done = spark.createDataFrame([(10, 11)], "item_id long, seed int")
     return grid.join(done, ["item_id", "seed"], "left_anti").select("item_id", "n_name", "seed")
 
@@ -326,11 +326,12 @@ def z70(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(F.when(n >= 500, n / 100.0), F.lit(0.5)).alias("value"), (n < 500).alias("fallback"))
 
 
-@query("z72_differential", "SELECT count(*) AS n, 0 AS n_mismatch FROM documents")
+@query("z72_differential", r"""SELECT count(*) AS n, count(*) FILTER (WHERE trim(regexp_replace(strip_accents(translate(lower(text), '''’‘`´ʼ', '')), '[^a-z0-9]+', ' ', 'g')) <> trim(regexp_replace(replace(lower(text), 'ё', 'е'), '[^а-яa-z0-9]+', ' ', 'g'))) AS n_mismatch FROM documents""")
 def z72(spark, d):
-    from ..functions.text import normalise_plain, normalise_strict
+    """How many texts two normalisations tell apart."""
+    from ..functions.text import normalise_english, normalise_plain
 
-    return table(spark, d, "documents").agg(F.count("*").alias("n"), F.count_if(~normalise_strict("text").eqNullSafe(normalise_plain(F.col("text")))).alias("n_mismatch"))
+    return table(spark, d, "documents").agg(F.count("*").alias("n"), F.count_if(~normalise_english("text").eqNullSafe(normalise_plain(F.col("text")))).alias("n_mismatch"))
 
 
 @query("z73_artifact_presence", "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id) WHERE lang = 'de'")
@@ -430,9 +431,9 @@ def z39(spark, d):
     return s.join(n, "source", "left").select("source", "cap", used.alias("used"), F.col("n").isNull().alias("unknown"))
 
 
-@query("z47_identity_windows", "SELECT conv_id FROM conversations GROUP BY 1 HAVING min(turn) <> 0 OR max(turn) + 1 <> count(*)")
+@query("z47_identity_windows", "SELECT conv_id FROM conversations WHERE role <> 'system' GROUP BY 1 HAVING min(turn) <> 0 OR max(turn) + 1 <> count(*)")
 def z47(spark, d):
-    g = table(spark, d, "conversations").groupBy("conv_id").agg(F.min("turn").alias("low"), F.max("turn").alias("high"), F.count("*").alias("n"))
+    g = table(spark, d, "conversations").filter("role <> 'system'").groupBy("conv_id").agg(F.min("turn").alias("low"), F.max("turn").alias("high"), F.count("*").alias("n"))
     return g.filter((F.col("low") != 0) | (F.col("high") + 1 != F.col("n"))).select("conv_id")
 
 

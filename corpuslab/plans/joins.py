@@ -42,32 +42,33 @@ def j3(spark, d):
 
 def arms(spark, d):
     """Two arms of scores with the same pairing keys, out of line items."""
-    lines = table(spark, d, "lineitem").groupBy("l_suppkey", "l_linenumber", "l_returnflag").agg(F.avg("l_discount").alias("score"))
-    keys = ["l_suppkey", "l_linenumber"]
+    keys = ["l_suppkey", "l_linenumber", "digit"]
+    lines = table(spark, d, "lineitem").withColumn("digit", (F.col("l_quantity") % 10).cast("int")).groupBy(*keys, "l_returnflag").agg(F.avg("l_discount").alias("score"))
     a = lines.filter("l_returnflag = 'A'").select(*keys, F.col("score").alias("score_a"))
     b = lines.filter("l_returnflag = 'R'").select(*keys, F.col("score").alias("score_b"))
     return a, b, keys
 
 
-ARMS = """WITH g AS (SELECT l_suppkey, l_linenumber, l_returnflag, avg(l_discount) AS score FROM lineitem GROUP BY ALL),
-a AS (SELECT l_suppkey, l_linenumber, score AS score_a FROM g WHERE l_returnflag = 'A'), b AS (SELECT l_suppkey, l_linenumber, score AS score_b FROM g WHERE l_returnflag = 'R')"""
+ARMS = """WITH g AS (SELECT l_suppkey, l_linenumber, CAST(l_quantity % 10 AS INTEGER) AS digit, l_returnflag, avg(l_discount) AS score FROM lineitem GROUP BY ALL),
+a AS (SELECT l_suppkey, l_linenumber, digit, score AS score_a FROM g WHERE l_returnflag = 'A'), b AS (SELECT l_suppkey, l_linenumber, digit, score AS score_b FROM g WHERE l_returnflag = 'R')"""
 
 
-@query("j4_paired_arms", ARMS + " SELECT l_suppkey, l_linenumber, round(score_a - score_b, 8) AS delta FROM a JOIN b USING (l_suppkey, l_linenumber)")
+@query("j4_paired_arms", ARMS + " SELECT l_suppkey, l_linenumber, digit, round(score_a - score_b, 8) AS delta FROM a JOIN b USING (l_suppkey, l_linenumber, digit)")
 def j4(spark, d):
     a, b, keys = arms(spark, d)
     return a.join(b, keys).select(*keys, F.round(F.col("score_a") - F.col("score_b"), 8).alias("delta"))
 
 
-@query("j4_unmatched_pairs", ARMS + """ SELECT l_suppkey, l_linenumber, 'left' AS side FROM a ANTI JOIN b USING (l_suppkey, l_linenumber)
-UNION ALL SELECT l_suppkey, l_linenumber, 'right' FROM b ANTI JOIN a USING (l_suppkey, l_linenumber)""")
+@query("j4_unmatched_pairs", ARMS + """ SELECT l_suppkey, l_linenumber, digit, 'left' AS side FROM a ANTI JOIN b USING (l_suppkey, l_linenumber, digit)
+UNION ALL SELECT l_suppkey, l_linenumber, digit, 'right' FROM b ANTI JOIN a USING (l_suppkey, l_linenumber, digit)""")
 def j4_unmatched(spark, d):
     return unmatched(*arms(spark, d))
 
 
-@query("j5_anti_membership", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@query("j5_anti_membership", "SELECT c_custkey FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') ON c_custkey = o_custkey")
 def j5(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    banned = table(spark, d, "orders").filter("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'")
+    return table(spark, d, "customer").join(banned, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("j6_common_parents", """

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .base import ORACLE_SQL, QUERIES
 
-FAMILIES = ("scans", "filters", "joins", "aggregates", "sequences", "texts", "content", "leakage", "selection", "statistics", "streams", "integrity")
+FAMILIES = ("scans", "filters", "joins", "aggregates", "sequences", "texts", "content", "leakage", "selection", "statistics", "streams", "integrity", "exports")
 for family in FAMILIES:
     import_module(f"{__package__}.{family}")
 

@@ -41,7 +41,7 @@ t AS (SELECT source, doc_id, n_chars, coalesce(sum(n_chars) OVER (ORDER BY n_cha
 SELECT source, doc_id, n_chars FROM t WHERE before < 300000""")
 def p3(spark, d):
     docs = table(spark, d, "documents").filter("n_chars < 20000").select("source", "doc_id", "n_chars")
-    return capped_greedy(docs, "source", [-F.col("n_chars"), F.col("doc_id")], "n_chars", 20000.0, 300000)
+    return capped_greedy(docs, "source", -F.col("n_chars"), F.col("doc_id"), "n_chars", 20000.0, 300000)
 
 
 ENDS = "WITH s AS (SELECT conv_id, turn, sum(" + WORDS + ") OVER (PARTITION BY conv_id ORDER BY turn) AS words FROM conversations), b AS (SELECT unnest([50, 150, 300]) AS centre)"
@@ -103,7 +103,9 @@ def p6(spark, d):
     t = event_spans(spark, d)
     a, b = t.select("user_id", F.col("event_id").alias("first"), "start"), t.select("user_id", F.col("event_id").alias("last"), F.col("start").alias("s2"), "end")
     length = F.col("end") - F.col("start")
-    c = a.join(b, (a["user_id"] == b["user_id"]) & (F.col("start") <= F.col("s2")) & length.between(3600, 86400)).select(a["user_id"], "first", "last", F.abs(length - 40000).alias("off"))
+    # a partner begins on the same day or the next one: an equi-join on days keeps the pairs near the candidates
+    a, b = a.withColumn("day", F.floor(F.col("start") / 86400)), b.withColumn("day", F.explode(F.array(F.floor(F.col("s2") / 86400), F.floor(F.col("s2") / 86400) - 1)))
+    c = a.join(b, (a["user_id"] == b["user_id"]) & (a["day"] == b["day"]) & (F.col("start") <= F.col("s2")) & length.between(3600, 86400)).select(a["user_id"], "first", "last", F.abs(length - 40000).alias("off"))
     return c.groupBy("user_id").agg(F.min(F.struct("off", "first", "last")).alias("best")).select("user_id", "best.first", "best.last")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.sequences import islands, merge_intervals, smoothed, spearman, theil_sen, top_per_group, window_grid
+from ..operators.sequences import islands, merge_intervals, smoothed, spearman, theil_sen, top_per_group, voiced_windows, window_grid
 from .base import query, table
 from .joins import SPANS, event_spans
 
@@ -239,3 +239,14 @@ def u2(spark, d):
 def u3(spark, d):
     docs = table(spark, d, "documents")
     return docs.filter("doc_id % 5 = 0").select("text").intersect(docs.filter("doc_id % 5 <> 0").select("text"))
+
+
+@query("w8_voiced_windows", SPANS + """, o AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM t),
+s AS (SELECT *, sum((start > coalesce(reach, '-infinity'::DOUBLE))::INT) OVER (PARTITION BY user_id ORDER BY start, e) AS k FROM o), m AS (SELECT user_id, k, min(start) AS start, max(e) - min(start) AS length FROM s GROUP BY 1, 2),
+a AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY user_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM m), n AS (SELECT user_id, max(off + length) AS total FROM a GROUP BY 1),
+w AS (SELECT user_id, unnest([x * 300.0::DOUBLE for x in range(CAST(floor((total - 600) / 300) AS BIGINT) + 1)] || CASE WHEN total - (floor((total - 600) / 300) * 300 + 600) > 60 THEN [total - 600] ELSE [] END) AS p FROM n WHERE total >= 600)
+SELECT w.user_id, round(p, 3) AS voiced_start, round(b.start + p - b.off, 3) AS t_start, round(c.start + p + 600 - c.off, 3) AS t_end FROM w JOIN a b ON w.user_id = b.user_id AND b.off <= p AND p < b.off + b.length
+JOIN a c ON w.user_id = c.user_id AND c.off < p + 600 AND p + 600 <= c.off + c.length + 1e-6 QUALIFY row_number() OVER (PARTITION BY w.user_id, p ORDER BY c.off DESC) = 1""")
+def w8(spark, d):
+    w = voiced_windows(event_spans(spark, d), "user_id", "start", "end", 600.0, 300.0, 60.0)
+    return w.select("user_id", F.round("voiced_start", 3).alias("voiced_start"), F.round("start", 3).alias("t_start"), F.round("end", 3).alias("t_end"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.statistics import add_arrays, bootstrap_means, cluster_sums, draws, interval, normal_sums, solved, two_sided_p
+from ..operators.statistics import add_arrays, analysis, bootstrap_means, cluster_sums, content_only, draws, draws_by_count, interval, normal_sums, solved, two_sided_p
 from .base import query, table
 
 B, SEED = 200, 20260913
@@ -134,3 +134,53 @@ def b15(spark, d):
 def z56(spark, d):
     names = table(spark, d, "documents").select("source").distinct()
     return names.select("source", (F.dense_rank().over(Window.orderBy("source")) - 1).alias("index"))
+
+
+@query("b10_draws_by_count", """WITH c AS (SELECT (l_suppkey % 25) % 3 AS cell, l_suppkey % 25 AS c, sum(l_discount) AS s, count(*) AS n FROM lineitem GROUP BY 1, 2),
+i AS (SELECT *, dense_rank() OVER (PARTITION BY cell ORDER BY c) - 1 AS index, count(*) OVER (PARTITION BY cell) AS k FROM c),
+d AS (SELECT k, r AS resample, """ + HASH.format(f"'{SEED}:' || r || ':' || u") + f""" % k AS index FROM (SELECT DISTINCT k FROM i), range({B}) a(r), range(25) b(u) WHERE u < k),
+m AS (SELECT cell, k, resample, sum(s) / sum(n) AS mean FROM d JOIN i USING (k, index) GROUP BY ALL)
+SELECT cell, k AS clusters, round(quantile_cont(mean, 0.025), 8) AS lo, round(quantile_cont(mean, 0.975), 8) AS hi FROM m GROUP BY 1, 2""")
+def b10(spark, d):
+    rows = table(spark, d, "lineitem").withColumns({"c": F.col("l_suppkey") % 25, "cell": F.col("l_suppkey") % 25 % 3})
+    sums = cluster_sums(rows, "c", F.col("l_discount"), ("cell",))
+    sums = sums.withColumn("clusters", F.count("*").over(Window.partitionBy("cell")).cast("int"))
+    rows = sums.join(draws_by_count(sums, B, SEED), ["clusters", "index"])
+    means = rows.groupBy("cell", "clusters", "resample").agg(F.try_divide(F.sum(F.col("s") * F.col("times")), F.sum(F.col("n") * F.col("times"))).alias("mean"))
+    return interval(means, ("cell", "clusters")).select("cell", "clusters", F.round("lo", 8).alias("lo"), F.round("hi", 8).alias("hi"))
+
+
+ANALYSIS = """WITH g AS (SELECT l_partkey AS p, l_returnflag AS arm, avg(l_discount) AS discount, avg(l_tax) AS tax, (avg(l_quantity) >= 25)::INT::DOUBLE AS complete FROM lineitem GROUP BY 1, 2),
+e AS (SELECT * FROM g WHERE p IN (SELECT p FROM g GROUP BY 1 HAVING count(*) = 3)), u AS (UNPIVOT e ON discount, tax, complete INTO NAME metric VALUE x),
+v AS (SELECT unnest(['B' || p % 3, 'ALL']) AS cell, arm, metric, p % 25 AS a, p % 7 AS b, x FROM u), s AS (SELECT cell, arm, metric, a, b, sum(x) AS s, count(*) AS n FROM v GROUP BY ALL),
+da AS (SELECT r AS resample, """ + HASH.format(f"'{SEED}:' || r || ':' || k") + f""" % 25 AS a, count(*) AS ta FROM range({B}) t(r), range(25) q(k) GROUP BY 1, 2),
+db AS (SELECT r AS resample, """ + HASH.format(f"'{SEED + 1}:' || r || ':' || k") + f""" % 7 AS b, count(*) AS tb FROM range({B}) t(r), range(7) q(k) GROUP BY 1, 2),
+j AS (SELECT s.*, resample, ta, coalesce(tb, 0) AS tb FROM s JOIN da USING (a) LEFT JOIN db USING (resample, b)),
+m AS (SELECT cell, metric, arm, 'source' AS method, resample, sum(s * ta) / nullif(sum(n * ta), 0) AS mean FROM j GROUP BY ALL UNION ALL SELECT cell, metric, arm, 'crossed', resample, sum(s * ta * tb) / nullif(sum(n * ta * tb), 0) FROM j GROUP BY ALL),
+pt AS (SELECT cell, metric, arm, sum(s) / sum(n) AS estimate, CAST(sum(n) AS BIGINT) AS n_attempts FROM s GROUP BY ALL),
+ct AS (SELECT * FROM (VALUES ('A', 'N'), ('A', 'R')) c(arm_a, arm_b)),
+x AS (SELECT cell, metric, method, arm AS arm_a, NULL::VARCHAR AS arm_b, mean FROM m UNION ALL SELECT l.cell, l.metric, l.method, arm_a, arm_b, l.mean - r.mean FROM ct JOIN m l ON l.arm = arm_a JOIN m r ON r.arm = arm_b AND r.cell = l.cell AND r.metric = l.metric AND r.method = l.method AND r.resample = l.resample),
+iv AS (SELECT cell, metric, method, arm_a, arm_b, round(quantile_cont(mean, 0.025), 8) + 0.0 AS lo, round(quantile_cont(mean, 0.975), 8) + 0.0 AS hi, count(mean) AS n_valid, count(*) - count(mean) AS n_empty FROM x GROUP BY ALL),
+pay AS (SELECT iv.*, round(l.estimate - coalesce(r.estimate, 0), 8) + 0.0 AS estimate, l.n_attempts FROM iv JOIN pt l ON l.cell = iv.cell AND l.metric = iv.metric AND l.arm = iv.arm_a LEFT JOIN pt r ON r.cell = iv.cell AND r.metric = iv.metric AND r.arm = iv.arm_b)"""
+
+
+def payload(spark, d):
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p"), F.col("l_returnflag").alias("arm"))
+    items = lines.agg(F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"), (F.avg("l_quantity") >= 25).cast("double").alias("complete"))
+    paired_items = items.groupBy("p").agg(F.count("*").alias("arms")).filter("arms = 3").select("p")
+    items = items.join(paired_items, "p", "left_semi")
+    cells = F.explode(F.array(F.concat(F.lit("B"), (F.col("p") % 3).cast("string")), F.lit("ALL"))).alias("cell")
+    melted = items.select(cells, "p", "arm", F.expr("stack(3, 'discount', discount, 'tax', tax, 'complete', complete) as (metric, x)"))
+    values = melted.groupBy("cell", "arm", "metric", (F.col("p") % 25).cast("int").alias("a"), (F.col("p") % 7).cast("int").alias("b")).agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    out = analysis(values, draws(spark, B, 25, SEED), draws(spark, B, 7, SEED + 1), [("A", "N"), ("A", "R")])
+    return out.select("cell", "metric", "method", "arm_a", "arm_b", *((F.round(c, 8) + 0.0).alias(c) for c in ("estimate", "lo", "hi")), "n_valid", "n_empty", "n_attempts")
+
+
+@query("b13_analysis_payload", ANALYSIS + " SELECT * FROM pay")
+def b13(spark, d):
+    return payload(spark, d)
+
+
+@query("b14_content_only", ANALYSIS + " SELECT * EXCLUDE (n_attempts) FROM pay WHERE metric <> 'complete'")
+def b14(spark, d):
+    return content_only(payload(spark, d), ("complete",))

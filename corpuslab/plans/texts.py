@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.disfluency import disfluencies, fluent
+from ..functions.numbers import FEMININE, HUNDREDS, TENS, THOUSAND, UNITS, cardinals
 from ..functions.text import byte_chunks, duration_frames, normalise_english, normalise_lenient, normalise_plain, normalise_strict, rate_per_hundred, sentence_count, transliterated, words
 from .base import query, spread, table
 
@@ -26,6 +27,30 @@ def x2(spark, d):
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", normalise_lenient("text").alias("norm"))
 
 
+def _sql_list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _sql_group(n: str, feminine: bool) -> str:
+    """The words of a number below a thousand, each with a blank before it."""
+    low = ["", *UNITS[1:]]
+    for k, v in FEMININE.items() if feminine else ():
+        low[k] = v
+    hundreds = f"{_sql_list(['', *(' ' + w for w in HUNDREDS)])}[{n} // 100 + 1]"
+    tens = f"CASE WHEN {n} % 100 >= 20 THEN {_sql_list(' ' + w for w in TENS)}[{n} % 100 // 10 - 1] ELSE '' END"
+    units = f"{_sql_list(' ' + w if w else '' for w in low)}[CASE WHEN {n} % 100 >= 20 THEN {n} % 10 ELSE {n} % 100 END + 1]"
+    return f"({hundreds} || {tens} || {units})"
+
+
+_FORM = f"CASE WHEN t = 0 THEN '' WHEN t % 100 // 10 = 1 THEN ' {THOUSAND[2]}' WHEN t % 10 = 1 THEN ' {THOUSAND[0]}' WHEN t % 10 BETWEEN 2 AND 4 THEN ' {THOUSAND[1]}' ELSE ' {THOUSAND[2]}' END"
+
+
+@query("x3_cardinals", "WITH n AS (SELECT p_partkey, p_partkey * 4721 % 1000000 AS n FROM part), g AS (SELECT p_partkey, n, n // 1000 AS t, n % 1000 AS u FROM n) SELECT p_partkey, n, CASE WHEN n = 0 THEN 'ноль' ELSE trim(" + _sql_group("t", True) + " || " + _FORM + " || " + _sql_group("u", False) + ") END AS words FROM g")
+def x3(spark, d):
+    n = (F.col("p_partkey") * 4721 % 1000000).alias("n")
+    return table(spark, d, "part").select("p_partkey", n).withColumn("words", cardinals("n"))
+
+
 @query("x4_english_normalise", r"""SELECT doc_id, trim(regexp_replace(strip_accents(translate(lower(text), '''’‘`´ʼ', '')), '[^a-z0-9]+', ' ', 'g')) AS norm FROM documents""")
 def x4(spark, d):
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import tarfile
+import uuid
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranks import numbered
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
     """JSON lines, plain or gzip, with the file of each row.
@@ -91,13 +97,13 @@ def write_parquet(df: DataFrame, schema: T.StructType, path: str) -> None:
 
 def parent_shards(df: DataFrame, parent: str, per_shard: int) -> DataFrame:
     """Shard numbers so that all rows of a parent share one, with ``per_shard`` parents each."""
-    parents = df.select(parent).distinct().withColumn("shard", F.floor((F.row_number().over(Window.orderBy(parent)) - 1) / per_shard))
+    parents = numbered(df.select(parent).distinct(), F.col(parent), "shard").withColumn("shard", F.floor(F.col("shard") / per_shard))
     return df.join(parents, parent)
 
 
 def round_robin(df: DataFrame, order: str, shards: int, first: int = 0, first_rows: DataFrame | None = None) -> DataFrame:
     """Rows dealt to shards in turn; ``first_rows`` (of the same schema) all go to shard ``first``."""
-    dealt = df.withColumn("shard", ((F.row_number().over(Window.orderBy(order)) - 1) % shards).cast("int"))
+    dealt = numbered(df, F.col(order), "shard").withColumn("shard", (F.col("shard") % shards).cast("int"))
     return dealt if first_rows is None else dealt.unionByName(first_rows.withColumn("shard", F.lit(first)))
 
 
@@ -115,6 +121,49 @@ def markdown(df: DataFrame, limit: int = 1000) -> str:
     return "\n".join("| " + " | ".join(c) + " |" for c in cells)
 
 
+def latex(df: DataFrame, limit: int = 1000) -> str:
+    """A small result as a LaTeX table; more rows than ``limit`` are refused."""
+    rows = [r[2:-2].split(" | ") for r in markdown(df, limit).split("\n")]
+    escaped = [[c.translate({ord(x): "\\" + x for x in "&%$#_{}"}) for c in r] for r in [rows[0], *rows[2:]]]
+    body = [" & ".join(r) + r" \\" for r in escaped]
+    return "\n".join([r"\begin{tabular}{" + "l" * len(rows[0]) + "}", r"\toprule", body[0], r"\midrule", *body[1:], r"\bottomrule", r"\end{tabular}"])
+
+
+def write_tar_shards(df: DataFrame, member: str, content: str, folder: str, shard_bytes: int = 1 << 26) -> DataFrame:
+    """Write rows as members of tar shards of about ``shard_bytes``; returns (member, shard, size, sha256).
+
+    Shards of an attempt that did not end well are in no returned row.
+    """
+
+    def pack(frames):
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        stem = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+        held, size, shard = [], 0, 0
+
+        def close():
+            name = f"{stem}-{shard:05d}.tar"
+            with store.open_output_stream(f"{path}/{name}", compression=None) as sink, tarfile.open(fileobj=sink, mode="w|") as tar:
+                for own, data in held:
+                    info = tarfile.TarInfo(own)
+                    info.size = len(data)
+                    tar.addfile(info, io.BytesIO(data))
+            return pd.DataFrame([(own, f"{folder}/{name}", len(data), hashlib.sha256(data).hexdigest()) for own, data in held], columns=["member", "shard", "size", "sha256"])
+
+        for frame in frames:
+            for own, data in zip(frame["member"], frame["content"]):
+                if held and size + len(data) > shard_bytes:
+                    yield close()
+                    held, size, shard = [], 0, shard + 1
+                held.append((own, bytes(data)))
+                size += len(data)
+        if held:
+            yield close()
+
+    rows = df.select(F.col(member).alias("member"), F.col(content).cast("binary").alias("content"))
+    return rows.mapInPandas(pack, "member string, shard string, size long, sha256 string")
+
+
 def tar_members(spark: SparkSession, path: str) -> DataFrame:
     """(shard, member, size, content, sha256) of the members of tar shards, one task per shard."""
 

@@ -63,9 +63,11 @@ def progress(query) -> dict:
 
 
 def state_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a query's result and state: shared if the session names one."""
+    """A fresh folder for a query's result and state, in the shared folder; where none is set, on a local master alone, a temporary one."""
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpuslab-")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(root or "file://" + tempfile.mkdtemp(prefix="corpuslab-"), f"{name}-{uuid.uuid4().hex}")

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 
 from corpuslab.functions.alignment import alignment, content_metrics, distances, repetition
-from corpuslab.functions.disfluency import clean, scan
+from corpuslab.functions.disfluency import clean, clean_pieces, density, finished, lowered, scan
 from corpuslab.functions.numbers import cardinal, spoken
+from corpuslab.functions.roots import prepare
 from corpuslab.functions.text import _english, _lenient, _strict, chunks
 
 W = "one two three four five six seven eight nine ten".split()
@@ -140,3 +141,36 @@ def test_window_agreement_of_whole_turns(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: r.median_ratio for r in QUERIES["m13_window_agreement"](spark, str(tmp_path)).collect()}
     assert got == {1: 0.5, 2: 1.0, 3: None}
+
+
+def test_edit_expansion_and_joint_cleaning():
+    assert clean("Ну, это дом. Угу. Дальше как бы лес.") == "Это дом. Дальше лес."
+    pieces, edits = clean_pieces(["Вот как", "бы дом и прос", "простите"])
+    assert pieces == [" ", " дом и ", "простите"] and [e.kind for e in edits] == ["multiword", "truncated", "discourse"]  # the first word goes once what follows it has gone
+    assert density("ну дом, как бы лес") == (60.0, 3, 5)
+    assert density("") == (0.0, 0, 0)
+    assert lowered("Так, рак вы меня Видите? Видите Пушкин видите", {"видите", "рак"}) == ("Так, рак вы меня видите? Видите Пушкин видите", 1)
+    assert finished("ага -- да...Нет ,, «что»") == "Ага — да. Нет, что"
+
+
+def test_roots():
+    groups = [(0.0, 4.0, "Привет всем"), (5.0, 9.0, "Ну, это Дом и дом"), (10.0, 14.0, "как бы Jazz лес"), (70.0, 75.0, "потом 5")]
+    options = {"opening": "привет", "window": 20.0, "look": 30.0, "latest": 60.0, "table": {"jazz": "джаз"}, "forbid_digits": True, "forbid_latin": True}
+    got = prepare(groups, **options)
+    assert (got["reason"], got["first_group"], got["n_groups"], got["n_transliterated"], got["n_case"]) == ("", 1, 2, 1, 1)
+    assert got["text"] == "Это дом и дом Джаз лес"
+    assert prepare([], **options)["reason"] == "no_timestamps"
+    assert prepare(groups[:1], **options)["reason"] == "no_clean_prefix_start"
+    assert prepare(groups, **options | {"window": 100.0})["reason"] == "digits"
+    assert prepare(groups, **options | {"table": {}})["reason"] == "unknown_latin"
+    assert prepare(groups, **options | {"window": 1.0})["reason"] == "empty_selection_window"
+
+
+def test_char_error_rate_of_any_letters(spark, tmp_path):
+    from corpuslab.plans.registry import QUERIES
+
+    rows = [(1, 0, "día"), (1, 1, "dia"), (1, 2, "日本語"), (2, 0, "Größe"), (2, 1, "große")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.cer for r in QUERIES["m4_char_error_rate"](spark, str(tmp_path)).collect()}
+    want = {(c, t): round(edit_distance(list(h), list(r)) / len(r), 6) for (c, _, r), (_, t, h) in zip(rows, rows[1:]) if c == _}
+    assert got == want

@@ -5,11 +5,12 @@ import io
 import random
 import tarfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.operators import aggregates as A
-from corpuslab.operators import paired, selection, sequences
+from corpuslab.operators import paired, ranks, selection, sequences
 from corpuslab.operators import statistics as S
 from corpuslab.operators.clustering import average_linkage
 from corpuslab.operators.content import final_status, flow_status
@@ -95,7 +96,7 @@ def test_capped_greedy_equals_the_sequential_walk(spark):
     for _ in range(3):
         rows = [(rng.choice("abc"), i, rng.randint(1, 30)) for i in range(60)]
         df = spark.createDataFrame(rows, "g string, i long, n long")
-        got = selection.capped_greedy(df, "g", [-F.col("n"), F.col("i")], "n", 90.0, 200)
+        got = selection.capped_greedy(df, "g", -F.col("n"), F.col("i"), "n", 90.0, 200)
         assert sorted((r.g, r.i) for r in got.collect()) == greedy(rows, 90, 200)
 
 
@@ -271,3 +272,26 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert got <= batch and len(batch) - len(got) <= 2
     assert {(r.start, r.n) for r in run_to_end(tumbling(stream, "ts", "1 hour"), folder).collect()} >= got
     assert sessions(events, "user_id", "ts", "10 minutes").count() == 200
+
+
+def test_median_slope_of_many_pairs():
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 7, 40, 41):
+        for spread_out in (3, 1000):
+            x, y = np.sort(rng.integers(0, n, n)).astype(float), rng.integers(-spread_out, spread_out, n).astype(float)
+            slopes = [(y[j] - y[i]) / (x[j] - x[i]) for i in range(n) for j in range(i + 1, n) if x[j] != x[i]]
+            for hold in (5, 1 << 20):
+                got = sequences.median_slope(x, y, hold)
+                assert got is None if not slopes else abs(got - np.median(slopes)) < 1e-12
+
+
+def test_numbers_and_running_sums(spark):
+    rows = [(k * 7 % 500, k % 5 + 1) for k in range(500)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(7)
+    got = sorted((r.k, r.n, r.s) for r in ranks.running_sum(ranks.numbered(df, F.col("k"), "n"), F.col("k"), F.col("v"), "s").collect())
+    done = 0
+    for n, ((k, v), (key, place, before)) in enumerate(zip(sorted(rows), got)):
+        assert (key, place, before) == (k, n, done)
+        done += v
+    assert ranks.numbered(df.limit(0), F.col("k"), "n").count() == 0
+    assert sorted(r.n for r in ranks.numbered(df, -F.col("k"), "n").collect()) == list(range(500))
