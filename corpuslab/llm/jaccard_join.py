@@ -11,19 +11,24 @@ Plan, each step a distributed pass over all documents:
    are named by a fingerprint, so copies meet as one node.  A node of which fewer
    than l shingles occur in other nodes' prefixes has no partner; of the others'
    shingles the l - 1 most frequent ones can go, as a pair's rarest shared one stays.
-3. Stars.  Within a bucket and a size band each node is compared with the
+3. Whole sets.  The nodes that still lie in a bucket have their texts read once
+   more, and their whole sets and token bitmaps written to one table.
+4. Stars.  Within a bucket and a size band each node is compared with the
    smallest node; verified links make first components.  A group of thousands of
    near copies is thereby joined with a linear number of comparisons.
-4. Signature trees.  What is left are pairs of nodes of one bucket in different
+5. Signature trees.  What is left are pairs of nodes of one bucket in different
    components.  The bucket's nodes form a tree whose nodes hold the OR of token
    bitmaps, the range of set sizes and the range of components; a dual traversal
    drops node pairs whose largest possible overlap cannot reach t, whose sizes
-   cannot, or which lie in one component already.
-5. Both candidate lists are verified on the whole sets, and components taken.
-
-Hot shingles: buckets are counted with map-side aggregation and joined back by a
-plain sort-merge join, which Spark splits where it is skewed; large buckets are
-dealt out to trees in blocks, each pair of blocks to a task of its own.
+   cannot, or which lie in one component already.  A first walk takes a few
+   partners of each node, so that groups grow together; the second takes all.
+6. All candidates are verified on the whole sets, and components taken.
+
+Hot keys: a task deals out each set once, however many copies it reads, and
+copies are counted with map-side aggregation.  Buckets are counted likewise and
+joined back by plain sort-merge joins, which Spark splits where they are skewed.
+Large buckets are dealt out to trees in blocks, each pair of blocks to a task of
+its own, but for pairs of blocks that hold one component alone.
 """
 
 from __future__ import annotations
@@ -37,14 +42,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import released, written
+from .shared import collected, dropped, frugal, written
 from .textkernel import HASH_BITS, HASH_MASK, Words, mix, shingle_keys, slices
 
 NARROW, WIDE = 128, 1 << 14  # bits of a token bitmap
 BLOCK = 1024  # members of one block of a large bucket
-FEW = 1  # partners of a node, in each bucket, in the first walks through the trees
+FEW = 2  # partners of a node, in each part of a bucket, in the first walk through the trees
 FAN = 8  # children of a tree's node
 SKETCH_PARTS = 64
+KEY_BITS = 1 << 27  # of the array that tells which texts are read again, at most
+PIECE = 1 << 10  # bytes of it that are gathered together
 
 
 def _sets(batch: pa.RecordBatch, size: int):
@@ -104,10 +111,10 @@ def count_sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "counts": pa.array([np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes() for x in sums.values()], pa.binary())})
 
-    rows = docs.select("text").mapInArrow(emit, "part int, counts binary")
-    rows = rows.repartition(SKETCH_PARTS, "part").mapInArrow(add, "part int, counts binary")
+    rows = docs.select("text").mapInArrow(frugal(emit), "part int, counts binary")
+    rows = rows.repartition(SKETCH_PARTS, "part").mapInArrow(frugal(add), "part int, counts binary")
     total = np.zeros((SKETCH_PARTS, (1 << bits) // SKETCH_PARTS), np.float64)
-    for part, counts in rows.collect():  # SKETCH_PARTS rows, 2 ** bits counters in all
+    for part, counts in collected(rows):  # SKETCH_PARTS rows, 2 ** bits counters in all
         total[part] += np.frombuffer(counts, "<u4")
     total = total.ravel() / max(total.mean(), 1e-9)
     return np.clip(np.ceil(8 * np.log2(np.maximum(total, 1))), 0, 255).astype(np.uint8)
@@ -187,13 +194,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shingles, link with nothing and keep their own id.  Rows with equal ids are
     kept and treated as copies of their texts; a null id is never the smallest,
     unless nothing else is linked.  Shingles are compared by 52-bit hashes and
-    sets named by 64-bit ones.  Other columns of ``docs`` are ignored.
+    sets named by 64-bit ones.  Other columns of ``docs`` are ignored; no rows
+    give none.
 
     With ``row_keys``, rows also bear ``text_hash``, the xxhash64 of the text, and
     ``group``, equal for the rows of a component whatever their ids, and null for
     wordless texts.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("key", F.coalesce("id", F.xxhash64("text")))  # rows without an id are found by their text
     docs = docs.withColumn("mark", F.xxhash64("text") if row_keys else F.lit(0).cast("long"))
@@ -201,72 +208,51 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mask = np.uint64((1 << sketch_bits) - 1)
 
     def prefixes(batches: Iterator[pa.RecordBatch]):
+        seen: set[int] = set()  # a task deals out each set once, however many copies it meets
         for batch in batches:
             for i, sizes, at, hashes in _sets(batch, shingle_words):
                 names = _fingerprints(sizes, at, hashes)
+                new = np.zeros(len(sizes), bool)
+                for k in np.unique(names, return_index=True)[1].tolist():
+                    if sizes[k] and (name := int(names[k])) not in seen:
+                        new[k] = True
+                        seen.add(name)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 level = levels[(hashes & mask).astype(np.int64)].astype(np.uint64)
                 order = np.argsort(doc.astype(np.uint64) << np.uint64(52) | level << np.uint64(44) | hashes >> np.uint64(8), kind="stable")
                 rank = np.arange(len(hashes)) - np.repeat(at[:-1], sizes)
-                take = rank < np.repeat(prefix_length(sizes, num, den), sizes)
-                ids, refs, marks = (batch.column(c).slice(i, len(sizes)) for c in ("id", "key", "mark"))
-                first = np.cumsum(take)[at[1:] - 1] if len(take) else np.zeros(len(sizes), np.int64)
-                ends = np.where(sizes > 0, first, 0)
-                ends = np.maximum.accumulate(ends) if len(ends) else ends
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(hashes[order][take].astype(np.int64)))
-                maps = pa.array(_bitmaps(sizes, at, hashes), pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, refs, marks, pa.array(sizes.astype(np.int64)), pa.array(names), maps, tokens], ["id", "key", "mark", "n", "node", "bitmap", "tokens"])
-
-    sets = written(docs.mapInArrow(prefixes, "id long, key long, mark long, n long, node long, bitmap binary, tokens array<long>"), "jaccard-sets")
-    released(spark)
-    deal = sets.filter("n > 0").select("node", "n", F.explode("tokens").alias("token"))
-    met = written(_shared_tokens(deal), "jaccard-met")
-    released(spark)
-    deal = written(deal.join(met, "token").distinct(), "jaccard-buckets")
-    released(spark, met)
-    smallest = F.expr(f"(n * {num} + {den - 1}) div {den}")  # of a partner
-    least = 1 + F.floor((smallest - F.expr(f"(((n * {num} + {den - 1}) div {den}) * {num} + {den - 1}) div {den}")) / 2)
-    own = Window.partitionBy("node")
-    for _ in range(2):
-        held = deal.withColumn("held", F.count("*").over(own)).filter(F.col("held") >= least).drop("held")
-        held = written(held.drop("df"), "jaccard-held")
-        again = written(_shared_tokens(held), "jaccard-met")
-        old, deal = deal, written(held.join(again, "token"), "jaccard-buckets")
-        released(spark, old, held, again)
-    ranked = deal.withColumn("held", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "token")))
-    old, deal = deal, written(ranked.filter(F.col("place") <= F.col("held") - least + 1).select("token", "node", "n"), "jaccard-buckets")
-    released(spark, old)
-    nodes = deal.select("node").distinct()
-    nodes = sets.join(nodes, "node").groupBy("node").agg(F.first("n").alias("n"), F.min("key").alias("key"), F.first("bitmap").alias("bitmap"))
-    nodes = written(nodes, "jaccard-nodes")
-    released(spark)
-
-    band = F.floor(F.log("n") / math.log(den / num)).alias("band")
-    banded = deal.select("*", band)
-    star = written(banded.groupBy("token", "band").agg(F.min("node").alias("a")), "jaccard-stars")
+                take = rank < np.repeat(prefix_length(sizes, num, den) * new, sizes)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc[take], minlength=len(sizes)))])
+                tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes[order][take].astype(np.int64)))
+                own = (batch.column(c).slice(i, len(sizes)) for c in ("id", "key", "mark"))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes.astype(np.int64)), pa.array(names), tokens], ["id", "key", "mark", "n", "node", "tokens"])
+
+    sets = written(docs.mapInArrow(frugal(prefixes), "id long, key long, mark long, n long, node long, tokens array<long>"), "jaccard-sets")
+    deal = _buckets(sets, num, den)
+    nodes = _whole_sets(docs, sets, deal, shingle_words)
+
+    # stars: each node of a bucket and size band against the smallest one
+    banded = deal.select("token", "node", F.floor(F.log("n") / math.log(den / num)).alias("band"))
+    star = banded.groupBy("token", "band").agg(F.min("node").alias("a"))
     stars = banded.join(star, ["token", "band"]).filter(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
-    stars = written(_possible(stars, nodes, num, den), "jaccard-pairs")
-    released(spark, star)
-    full = _whole_sets(docs, _wanted(stars, nodes), shingle_words)
-
-    links = written(_verified(stars, full, num, den), "jaccard-links")
-    released(spark, full)
-    known = written(components(links), "jaccard-known")
-
-    # buckets that still hold nodes of different components, at first with one or a few partners for each node:
-    # most of a large group is one component after that, and the walk for all partners passes it over
-    for partners in (FEW, 4 * FEW, None):
-        links = links.unionByName(_verified(*_tree_candidates(docs, deal, nodes, known, shingle_words, num, den, partners), num, den))
-        links = written(links.distinct(), "jaccard-links")
-        known = written(components(links), "jaccard-known")
-        released(spark)
-    comp = known
-    released(spark, deal, nodes)
+    links = written(_verified(_possible(stars, nodes, num, den), nodes, num, den), "jaccard-links")
+    known = components(links)
+    dropped(links)
+    # buckets that still hold nodes of different components, at first with a few partners for each node: most
+    # of a large group is one component after that, and the walk for all partners passes it over
+    for partners in (FEW, None):
+        more = written(_tree_candidates(deal, nodes, known, num, den, partners), "jaccard-more")
+        links = written(_verified(more, nodes, num, den), "jaccard-links")
+        # what is known already goes on as stars
+        old, known = known, components(links.unionByName(known.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+        dropped(more, links, old)
+    dropped(deal, nodes)
 
     # smallest id of each component; nodes without links only matter if several rows share them
     copies = sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("rows"))
-    named = written(copies.join(comp, "node", "left").filter("comp is not null or rows > 1").select("node", "low", F.coalesce("comp", "node").alias("comp")), "jaccard-named")
-    lows = written(named.groupBy("comp").agg(F.min("low").alias("component_id")), "jaccard-lows")
+    named = copies.join(known, "node", "left").filter("comp is not null or rows > 1").select("node", "low", F.coalesce("comp", "node").alias("comp"))
+    named = written(named, "jaccard-named")
+    lows = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = written(named.join(lows, "comp").select("node", "component_id", "comp"), "jaccard-names")
     empty = F.xxhash64(F.col("id"), F.rand(7))  # wordless rows are dealt out evenly and match nothing
     out = sets.select("id", "mark", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(empty).alias("node"))
@@ -279,19 +265,51 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _tree_candidates(docs: DataFrame, deal: DataFrame, nodes: DataFrame, known: DataFrame, shingle_words: int, num: int, den: int, partners: int | None) -> tuple[DataFrame, DataFrame]:
-    """Pairs of nodes of one bucket and different components that may be similar, and their whole sets.
+def _buckets(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(token, node, n): the buckets that sets have to meet in, as the module's head says."""
+    deal = sets.select("node", "n", F.explode("tokens").alias("token"))
+    met = written(_shared_tokens(deal), "jaccard-met")
+    smallest = F.expr(f"(n * {num} + {den - 1}) div {den}")  # of a partner
+    least = 1 + F.floor((smallest - F.expr(f"(((n * {num} + {den - 1}) div {den}) * {num} + {den - 1}) div {den}")) / 2)
+    own = Window.partitionBy("node")
+    held = deal.join(met, "token").select("token", "node", "n").distinct()
+    held = written(held.withColumn("held", F.count("*").over(own)).filter(F.col("held") >= least).drop("held"), "jaccard-held")
+    dropped(met)
+    ranked = held.join(_shared_tokens(held), "token")
+    ranked = ranked.withColumn("held", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "token")))
+    deal = written(ranked.filter((F.col("held") >= least) & (F.col("place") <= F.col("held") - least + 1)).select("token", "node", "n"), "jaccard-buckets")
+    dropped(held)
+    return deal
+
+
+def _tree_candidates(deal: DataFrame, nodes: DataFrame, known: DataFrame, num: int, den: int, partners: int | None) -> DataFrame:
+    """Pairs of nodes of one bucket and different components that may be similar.
 
     With ``partners`` set, a node meets that many others at most in each part of
-    a bucket; a later call without it finds the rest.
+    a bucket; a later call without it finds the rest.  A large bucket is dealt out
+    in blocks, each pair of blocks a part of its own.  A component with more
+    members in a bucket than a block holds has blocks of its own, which are never
+    held against each other; all other members go by their component's hash.
     """
-    spark = docs.sparkSession
+    spark = deal.sparkSession
     marked = written(deal.join(known, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp")), "jaccard-marked")
-    mixed = marked.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).filter("x <> y")
-    mixed = written(mixed.select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "jaccard-mixed")
-    rest = marked.join(mixed, "token")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs_of = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("p"), F.greatest(own, k).alias("q")))
+    held = marked.groupBy("token", "comp").agg(F.count("*").alias("members"))
+    large = F.ceil(F.col("members") / BLOCK).cast("int")
+    buckets = held.groupBy("token").agg(F.count("*").alias("comps"), F.sum(F.when(F.col("members") <= BLOCK, F.col("members")).otherwise(0)).alias("loose"))
+    buckets = written(buckets.filter("comps > 1").select("token", F.ceil(F.col("loose") / BLOCK).cast("int").alias("loose")), "jaccard-mixed")
+    # blocks of large components follow the loose ones; a bucket has few of them
+    before = F.sum(large).over(Window.partitionBy("token").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1))
+    solid = held.filter(F.col("members") > BLOCK).select("token", "comp", large.alias("solid"), F.coalesce(before, F.lit(0)).cast("int").alias("base"))
+    solid = written(solid, "jaccard-solid")
+    extent = solid.groupBy("token").agg(F.sum("solid").cast("int").alias("all_solid"))
+    rest = marked.join(buckets.join(extent, "token", "left"), "token").join(solid, ["token", "comp"], "left")
+    spread = lambda c, k: F.pmod(F.xxhash64(c), F.greatest(k, F.lit(1))).cast("int")
+    begin = F.col("loose") + F.col("base")
+    own = F.when(F.col("solid").isNull(), spread("comp", F.col("loose"))).otherwise(begin + spread("node", F.col("solid")))
+    total = F.col("loose") + F.coalesce("all_solid", F.lit(0))
+    others = F.filter(F.sequence(F.lit(0), total - 1), lambda k: F.col("solid").isNull() | (k < begin) | (k >= begin + F.col("solid")))
+    # loose blocks meet themselves too
+    pairs_of = F.transform(others, lambda k: F.struct(F.least(own, k).alias("p"), F.greatest(own, k).alias("q")))
     rest = rest.select("token", "node", "n", "comp", own.alias("own"), F.explode(pairs_of).alias("pair"))
     rest = rest.join(nodes.select("node", "bitmap"), "node")
     rest = rest.select("token", F.col("pair.p").alias("p"), F.col("pair.q").alias("q"), "own", "n", "node", "comp", "bitmap")
@@ -312,9 +330,7 @@ def _tree_candidates(docs: DataFrame, deal: DataFrame, nodes: DataFrame, known:
         if carry is not None and len(carry):
             yield from _tree_batch(carry, num, den, partners)
 
-    more = written(rest.mapInArrow(trees, "a long, b long").distinct(), "jaccard-more")
-    released(spark, marked, mixed)
-    return more, _whole_sets(docs, _wanted(more, nodes), shingle_words)
+    return rest.mapInArrow(frugal(trees), "a long, b long").distinct()
 
 
 def _shared_tokens(deal: DataFrame) -> DataFrame:
@@ -396,49 +412,60 @@ def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
 
     left = pairs.join(nodes.select(F.col("node").alias("b"), "n", F.col("bitmap").alias("p")), "b")
     left = left.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("bitmap").alias("q")), "a")
-    return left.filter((F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)).mapInArrow(check, "a long, b long")
+    return left.filter((F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)).mapInArrow(frugal(check), "a long, b long")
 
 
-def _wanted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, key) of the nodes in ``pairs``; the key names a document to read."""
-    ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct())
-    return written(nodes.select("node", "key").join(ends, "node", "left_semi"), "jaccard-wanted")
+def _whole_sets(docs: DataFrame, sets: DataFrame, deal: DataFrame, size: int) -> DataFrame:
+    """(node, n, bitmap, hashes) of the nodes in ``deal``, one document's text read for each.
 
+    A bit array of the wanted documents' keys, of some eight bits each and of
+    ``KEY_BITS`` bits at most, spares the other texts the hashing; the join after
+    it is what decides.
+    """
+    rows = sets.filter("size(tokens) > 0").select("node", "key")
+    wanted = written(rows.join(deal.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")), "jaccard-wanted")
+    bits = 1 << min(max(8 * wanted.count(), 1 << 16).bit_length(), KEY_BITS.bit_length() - 1)
+    spot = F.pmod(F.xxhash64("key"), F.lit(bits)).cast("long")
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, hashes) of the wanted nodes, one document's text read for each.
+    def marks(batches: Iterator[pa.RecordBatch]):
+        array = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            at = batch.column("spot").to_numpy()
+            np.bitwise_or.at(array, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for k in range(0, len(array), PIECE):
+            if array[k : k + PIECE].any():
+                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "bits": pa.array([array[k : k + PIECE].tobytes()], pa.binary())})
 
-    A fixed-size bit array of the wanted ids spares the other texts the hashing;
-    the join after it is what decides.
-    """
-    bits = 1 << 23
-    spot = F.pmod(F.xxhash64("key"), F.lit(bits)).cast("int")
-    spots = wanted.select((spot / 64).cast("int").alias("word"), spot.alias("spot"))
-    words = spots.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, spot % 64)")).alias("bits"))
-    array = np.zeros(bits // 64, np.uint64)
-    for word, value in words.collect():  # bits / 64 rows at most
-        array[word] = np.uint64(value & 0xFFFFFFFFFFFFFFFF)
+    # an executor's partitions by ranges of the array: each piece comes from one of them, so KEY_BITS / 8 bytes in all
+    pieces = wanted.select(spot.alias("spot")).repartition(F.expr(f"spot div {8 * PIECE}")).mapInArrow(frugal(marks), "k long, bits binary")
+    array = np.zeros(bits // 8, np.uint8)
+    for k, part in collected(pieces):
+        array[k : k + PIECE] |= np.frombuffer(part, np.uint8)
 
     def emit(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             at = batch.column("spot").to_numpy()
-            has = (array[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            batch = batch.filter(pa.array(has.astype(bool)))
+            batch = batch.filter(pa.array((array[at >> 3] >> (at & 7)) & 1 == 1))
             for i, sizes, at, hashes in _sets(batch, size):
                 keep = np.flatnonzero(sizes > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("key").slice(i, len(sizes)).take(pa.array(keep)),
-                        pa.array(_fingerprints(sizes, at, hashes)[keep]),
-                        pa.array([hashes[at[k] : at[k + 1]].tobytes() for k in keep], pa.binary()),
-                    ],
-                    ["key", "node", "hashes"],
-                )
-
-    found = docs.select("key", "text", spot.alias("spot")).mapInArrow(emit, "key long, node long, hashes binary")
-    # rows that share a key and a text would give a node twice
-    full = found.join(wanted, ["key", "node"], "left_semi").dropDuplicates(["node"])
-    return written(full.select("node", "hashes"), "jaccard-full")
+                if not len(keep):
+                    continue
+                maps = _bitmaps(sizes, at, hashes)
+                columns = {
+                    "key": batch.column("key").slice(i, len(sizes)).take(pa.array(keep)),
+                    "node": pa.array(_fingerprints(sizes, at, hashes)[keep]),
+                    "n": pa.array(sizes[keep].astype(np.int64)),
+                    "bitmap": pa.array([maps[k] for k in keep], pa.binary()),
+                    "hashes": pa.array([hashes[at[k] : at[k + 1]].tobytes() for k in keep], pa.binary()),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+
+    found = docs.select("key", "text", spot.alias("spot")).mapInArrow(frugal(emit), "key long, node long, n long, bitmap binary, hashes binary")
+    full = found.join(wanted.withColumnRenamed("key", "own_key"), "node").filter("key = own_key").drop("key", "own_key")
+    # rows that share a key and a text give a node twice
+    full = written(full.dropDuplicates(["node"]), "jaccard-nodes")
+    dropped(wanted)
+    return full
 
 
 def _verified(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
@@ -457,4 +484,4 @@ def _verified(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFram
     sets = full.select("node", "hashes")
     left = pairs.join(sets.withColumnsRenamed({"node": "b", "hashes": "q"}), "b")
     left = left.join(sets.withColumnsRenamed({"node": "a", "hashes": "p"}), "a").select("a", "b", "p", "q")
-    return left.mapInArrow(check, "a long, b long")
+    return left.mapInArrow(frugal(check), "a long, b long")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_path, tokenizer
-from .shared import written
+from .shared import frugal, written
 from .textkernel import slices
 
 
@@ -187,7 +187,7 @@ def pack_documents(docs: DataFrame, size: int = 1024, end_id: int = 2, tokenizer
                 arrays += [pa.array(c, pa.int64()) for c in rows[2:7]] + [pa.array(c, pa.binary()) for c in rows[7:]]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    pieces = written(source.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long, part long, rank long{extra}"), "packing-pieces")
+    pieces = written(source.mapInArrow(frugal(cut), f"id {kind}, piece int, start long, length long, ids_crc32 long, part long, rank long{extra}"), "packing-pieces")
     counts = written(pieces.filter(F.col("length") < size).groupBy("part", "length").agg(F.count("*").alias("n")), "packing-counts")
     histogram = np.zeros(size + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # fewer than ``size`` rows
@@ -210,7 +210,7 @@ def pack_documents(docs: DataFrame, size: int = 1024, end_id: int = 2, tokenizer
 
     columns = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
     short = pieces.filter(F.col("length") < size).join(bases, ["part", "length"]).select(*columns, (F.col("rank") + F.col("base")).alias("at"))
-    short = short.mapInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long{extra}, sequence_id long, offset long")
+    short = short.mapInArrow(frugal(place), f"id {kind}, piece int, start long, length long, ids_crc32 long{extra}, sequence_id long, offset long")
     alone = (-1 - F.col("part") * F.lit(1 << 36) - F.col("rank")).alias("sequence_id")
     full = pieces.filter(F.col("length") == size).select(*columns, alone, F.lit(0).cast("long").alias("offset"))
     out = short.unionByName(full).withColumnRenamed("id", id_col)

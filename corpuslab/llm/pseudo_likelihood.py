@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import released, written
+from .shared import collected, frugal, written
 from .textkernel import Words, slices
 
 CLASSES = 1024  # of the smallest network
@@ -188,7 +188,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"word": pa.array(words.view(np.int64)), "n": pa.array(n.astype(np.int64))})
                     held, size = [], 0
 
-    return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(frugal(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def train_round(docs: DataFrame, vocabulary: Vocabulary, net: dict, rate: float) -> dict:
@@ -228,47 +228,51 @@ def train_round(docs: DataFrame, vocabulary: Vocabulary, net: dict, rate: float)
         if sums:
             yield pa.RecordBatch.from_pydict({"block": pa.array([k[0] for k in sums], pa.int32()), "branch": pa.array([k[1] for k in sums], pa.int32()), "weight": pa.array([v[0] for v in sums.values()]), "part": pa.array([v[1].tobytes() for v in sums.values()], pa.binary())})
 
-    rows = docs.select("text").mapInArrow(learn, schema)
-    rows = rows.repartition(8 * BLOCKS, "block", "branch").mapInArrow(add, schema).withColumn("branch", F.lit(0))
-    rows = rows.repartition(BLOCKS, "block").mapInArrow(add, schema)
+    rows = docs.select("text").mapInArrow(frugal(learn), schema)
+    rows = rows.repartition(8 * BLOCKS, "block", "branch").mapInArrow(frugal(add), schema).withColumn("branch", F.lit(0))
+    rows = rows.repartition(BLOCKS, "block").mapInArrow(frugal(add), schema)
     flat, weight = np.zeros(size * BLOCKS), 0.0
-    for block, _, own_weight, part in rows.collect():  # BLOCKS rows, the network's size in all
+    for block, _, own_weight, part in collected(rows):  # BLOCKS rows, the network's size in all
         part = np.frombuffer(part, np.float64)
         flat[block * size : block * size + len(part)] = part
         weight = own_weight
     return _unflat(flat[:total] / weight, vocabulary.size) if weight else net
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, rate: float = 1.0) -> DataFrame:
-    """id, n_tokens, log_likelihood, mean_log_likelihood of each row.
-
-    The network is trained on the texts of ``docs`` itself, all of them, dealt to
-    ``rounds`` rounds by a hash.  Words are split at ASCII white space and A-Z
-    lower-cased.  A null or wordless text has a sum of 0 and a null mean.  Equal
-    texts score alike and train once each; other columns are ignored; without any
-    words the network keeps its start.
-    """
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counted = written(word_counts(source), "likelihood-words")
-    released(spark)
+def fit_network(docs: DataFrame, rounds: int = 2, rate: float = 1.0):
+    """(counts of all words, vocabulary, network, counts by class) of a corpus with ``id`` and ``text``."""
+    counted = written(word_counts(docs), "likelihood-words")
     tokens = counted.agg(F.sum("n")).first()[0] or 0
     classes = class_count(tokens)
     rare = rare_count(classes)
-    top = counted.orderBy(F.desc("n"), "word").limit(classes - rare).collect()  # as the root of the corpus
+    top = collected(counted.orderBy(F.desc("n"), "word").limit(classes - rare))  # as the root of the corpus
     hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     counts = np.zeros(classes)
     counts[: len(top)] = [r["n"] for r in top]
-    spread = counted.groupBy(F.expr(f"pmod(word, {rare})").cast("int").alias("k")).agg(F.sum("n").alias("n")).collect()
+    spread = collected(counted.groupBy(F.expr(f"pmod(word, {rare})").cast("int").alias("k")).agg(F.sum("n").alias("n")))
     for r in spread:  # one row a class; the frequent words of a class are taken off again
         counts[classes - rare + r["k"]] = r["n"]
     for h, r in zip(hashes.tolist(), top):
         counts[classes - rare + h % rare] -= r["n"]
     vocabulary, net = Vocabulary(hashes, classes), start(counts)
     for k in range(rounds):
-        part = source.filter(F.pmod(F.xxhash64("id", "text"), F.lit(rounds)) == k) if rounds > 1 else source
+        part = docs.filter(F.pmod(F.xxhash64("id", "text"), F.lit(rounds)) == k) if rounds > 1 else docs
         net = train_round(part, vocabulary, net, rate)
-        released(spark)
+    return counted, vocabulary, net, counts
+
+
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, rate: float = 1.0) -> DataFrame:
+    """id, n_tokens, log_likelihood, mean_log_likelihood of each row.
+
+    The network is trained on the texts of ``docs`` itself, all of them, dealt to
+    ``rounds`` rounds by a hash.  Words are split at ASCII white space and A-Z
+    lower-cased.  A null or wordless text has a sum of 0 and a null mean.  Equal
+    texts score alike and train once each; other columns are ignored; without any
+    words the network keeps its start.
+    """
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    counted, vocabulary, net, counts = fit_network(source, rounds, rate)
+    classes, rare = vocabulary.size, vocabulary.rare
     within = np.where(np.arange(classes) < classes - rare, 0, -np.log(np.maximum(counts, 1)))
 
     def score(batches: Iterator[pa.RecordBatch]):
@@ -288,7 +292,7 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(own_keys), pa.array(codes[at].view(np.int64)), held, pa.nulls(len(at), none.type), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.float64())], names)
 
     names = ["key", "word", "hashed", "id", "n_tokens", "base"]
-    rows = source.withColumn("key", F.xxhash64("id", "text")).mapInArrow(score, f"key long, word long, hashed boolean, id {source.dtypes[0][1]}, n_tokens long, base double")
+    rows = source.withColumn("key", F.xxhash64("id", "text")).mapInArrow(frugal(score), f"key long, word long, hashed boolean, id {source.dtypes[0][1]}, n_tokens long, base double")
     # a word met once adds log 1; texts bear their key as word, which deals them out evenly, and join nothing
     known = counted.filter("n > 1").select("word", F.lit(True).alias("hashed"), F.log("n").alias("log_n"))
     rows = rows.join(known.hint("shuffle_hash"), ["word", "hashed"], "left")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out
+from .shared import fitted, frugal, held_out, labelled_sample, with_private_names
 from .textkernel import SPACE, Words, slices
 
 FEATURES = (
@@ -101,8 +101,8 @@ def expand(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.concatenate([z, z * z / 6], axis=1)
 
 
-def fit_bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int = 200_000, ridge: float = 1e-3, steps: int = 400, seed: int = 5) -> dict:
-    """Weights from preference pairs, and the threshold's quantile and value.
+def fit_bradley_terry(x: np.ndarray, y: np.ndarray, batch: int = 8192, ridge: float = 1e-3, steps: int = 400, seed: int = 5) -> dict:
+    """Weights from preference pairs, ``batch`` new ones a step, and the threshold's quantile and value.
 
     Without rows of both labels every text has the same strength; the score is
     then 1 or 0 as the only label says, and 0.5 without any row.
@@ -117,10 +117,9 @@ def fit_bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int = 200_000, ridge:
         return model
     rng = np.random.default_rng(seed)
     z = expand(x, mean, scale)
-    diff = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
     w, m, v = model["weights"], np.zeros(2 * len(FEATURES)), np.zeros(2 * len(FEATURES))
     for t in range(1, steps + 1):
-        part = diff[rng.integers(0, len(diff), 8192)]
+        part = z[rng.choice(good, batch)] - z[rng.choice(bad, batch)]
         g = -(part * (1 / (1 + np.exp(np.clip(part @ w, -60, 60))))[:, None]).mean(axis=0) + ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -134,23 +133,10 @@ def fit_bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int = 200_000, ridge:
     return model | {"weights": w, "cut": float(cut), "quantile": float((order < cut).mean())}
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, max_rows: int = 20_000, carry: list[str] | None = None) -> DataFrame:
-    """(id, held_out, score, predicted) for each row of ``docs``.
-
-    The score is the logistic function of a text's strength less the cut.
-    Labels are learnt only from rows that are not held out, at most ``max_rows``
-    of them (those smallest by a hash of their id); statistics of the cut come
-    from the same rows.  The whole text, and nothing else of a row, enters its
-    score; null and wordless texts have all features 0.  Rows with equal ids are
-    each scored, and count once each in fitting; rows without an id are scored,
-    and held out exactly if their crc says so (null: not held out, never
-    learnt).  Labels that are null are not learnt from.  ``carry`` names columns
-    of ``docs`` to return in place of the id.
-    """
-    carried = list(carry or [])
-    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *(F.col(f"`{c}`") for c in carried))
-    kind = source.dtypes[0][1]
-    fields = {f.name: f.dataType.simpleString() for f in source.schema}
+def quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 8_000, max_bytes: int = 1 << 26) -> dict:
+    """The fitted model; ``quality_scores`` says from which rows."""
+    source, _ = with_private_names(docs.select(id_col, text_col), id_col, text_col)
+    sample = labelled_sample(source, labels, label_col, id_col, max_rows, max_bytes)
 
     def measure(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -159,24 +145,40 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("__id", "y")), flat], ["__id", "y", "x"])
 
-    marks = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).filter("y is not null and __id is not null")
-    marks = marks.filter(~held_out("__id")).groupBy("__id").agg(F.max("y").alias("y"))
-    # at most max_rows ids and labels: a bounded broadcast
-    picked = marks.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    rows = source.select("__id", "__text").join(F.broadcast(picked), "__id").select("__id", "y", "__text")
-    rows = rows.mapInArrow(measure, f"__id {kind}, y int, x array<double>")
-    rows = rows.orderBy(F.xxhash64("__id"), "__id", "x").limit(max_rows).select("x", "y").toPandas()
-    model = fit_bradley_terry(np.array(rows["x"].tolist(), float), rows["y"].to_numpy())
+    def fit(rows: pa.Table) -> dict:
+        return fit_bradley_terry(rows.column("x").combine_chunks().flatten().to_numpy(), rows.column("y").to_numpy())
+
+    sample = sample.select("__id", "y", "__text").mapInArrow(frugal(measure), f"__id {source.schema['__id'].dataType.simpleString()}, y int, x array<double>")
+    return fitted(sample, fit) or fit_bradley_terry(np.zeros((0, len(FEATURES))), np.zeros(0))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, max_rows: int = 8_000, max_bytes: int = 1 << 26, whole_rows: bool = False, model: dict | None = None) -> DataFrame:
+    """(id, held_out, score, predicted) for each row of ``docs``.
+
+    The score is the logistic function of a text's strength less the cut.
+    Labels are learnt only from rows that are not held out: of each label at
+    most ``max_rows`` ids, with ``max_bytes`` bytes of text, those smallest by a
+    hash; statistics of the cut come from the same rows.  The whole text, and
+    nothing else of a row, enters its score; null and wordless texts have all
+    features 0.  Rows with equal ids are each scored, and learnt from once (by
+    the smallest text); rows without an id are scored, never learnt from, and
+    not held out.  Null labels are not learnt from; no rows give none.  With
+    ``whole_rows``, the id's place is taken by ``document``, a struct of all
+    columns of ``docs``, so that no name of theirs can clash with the results'.
+    A ``model`` of ``quality_model`` may be given in place of the one that is
+    learnt here.
+    """
+    source, names = with_private_names(docs if whole_rows else docs.select(id_col, text_col), id_col, text_col)
+    kept = [f for f in source.schema if whole_rows or f.name == "__id"]
+    model = model or quality_model(docs, labels, id_col, text_col, label_col, max_rows, max_bytes)
 
     def score(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for i, j, data, offs in slices(batch.column("__text")):
                 s = expand(features(data, offs), model["mean"], model["scale"]) @ model["weights"] - model["cut"]
-                kept = [batch.column(c).slice(i, j - i) for c in ("__id", *carried)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(1 / (1 + np.exp(-np.clip(s, -40, 40))))], ["__id", *carried, "__score"])
+                own = [batch.column(f.name).slice(i, j - i) for f in kept]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(1 / (1 + np.exp(-np.clip(s, -40, 40))))], [*(f.name for f in kept), "__score"])
 
-    out = source.mapInArrow(score, ", ".join(f"`{c}` {fields[c]}" for c in ("__id", *carried)) + ", __score double")
-    return out.select(
-        *([] if carry is not None else [F.col("__id").alias(id_col)]), *(F.col(f"`{c}`") for c in carried),
-        F.coalesce(held_out("__id"), F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"),
-    )
+    out = source.mapInArrow(frugal(score), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", __score double")
+    first = F.struct(*(F.col(own).alias(c) for c, own in names.items())).alias("document") if whole_rows else F.col("__id").alias(id_col)
+    return out.select(first, F.coalesce(held_out("__id"), F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))

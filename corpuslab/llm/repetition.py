@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import frugal
 from .textkernel import SPACE, Words, slices
 
 SYMBOLS = np.zeros(256, bool)
@@ -171,7 +172,7 @@ def repetition_rules(docs: DataFrame, text_col: str = "text", min_words: int = 5
                 arrays += [pa.array(got[c], pa.float64() if c == "repeat_share" else pa.int64()) for c in names[:-1]]
                 yield pa.RecordBatch.from_arrays([*arrays, spans], [*kept, *names])
 
-    out = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    out = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).alias("__text")).mapInArrow(frugal(run), schema)
     failed = (F.col("n_words") < base_words) | (100 * F.col("n_repeat_words") > base_share * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("repeat_share") <= max_share) & (F.col("longest_repeat") <= max_longest))

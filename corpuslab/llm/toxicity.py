@@ -6,13 +6,15 @@ hardly any of the others marks its tokens in toxic documents as toxic; all other
 tokens are not.  A two-state chain over each sentence is then fitted to those
 token labels, with weights for words, word beginnings and transitions.  Marginals
 come from the forward-backward algorithm, taken as a product of 2 x 2 matrices
-over all tokens of a slice at once, with a restart where a sentence begins.  The
-expected number of toxic tokens, calibrated on the fitting documents, is a
-document's score.
+over all tokens of a slice at once, with a restart where a sentence begins.  All
+marginals of a document enter its score: the expected number of tokens that two
+independent taggings by the chain would both mark, calibrated on the fitting
+documents.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out
+from .shared import fitted, frugal, held_out, labelled_sample, with_private_names
 from .textkernel import Words, mix, slices
 
 BITS = 20  # of the table that tells which features may have a weight
-FLOOR = 0.5  # of a token's chance, to count as evidence
 STEP = 64  # tokens of a block in the scan
 _PUNCT = np.zeros(256, bool)
 _PUNCT[list(range(33, 48)) + list(range(58, 65)) + list(range(91, 97)) + list(range(123, 127))] = True
@@ -129,8 +130,12 @@ def _score(tokens: Tokens, model: dict) -> np.ndarray:
     return got
 
 
-def _fresh(w: Words, seen: set[int]) -> np.ndarray:
-    """Which texts of a slice are no near copies of earlier ones, by four minima over their five-word runs."""
+def _fresh(w: Words, labels: np.ndarray, seen: dict[tuple, int]) -> np.ndarray:
+    """Which texts of a slice are no near copies of earlier ones of their label.
+
+    A near copy shares three or all of four minima over five-word runs with one
+    earlier text; ``seen`` maps label, minimum and its number to the first text that had it.
+    """
     h = w.hashes()
     fresh = np.zeros(w.n_docs, bool)
     for d in range(w.n_docs):
@@ -138,9 +143,12 @@ def _fresh(w: Words, seen: set[int]) -> np.ndarray:
         if not len(own):
             continue
         run = own if len(own) < 5 else own[:-4] + own[1:-3] * np.uint64(3) + own[2:-2] * np.uint64(5) + own[3:-1] * np.uint64(7) + own[4:] * np.uint64(11)
-        marks = {int(mix(run + np.uint64(k)).min()) for k in range(4)}
-        fresh[d] = not marks & seen
-        seen |= marks
+        marks = [(int(labels[d]), k, int(mix(run + np.uint64(k)).min())) for k in range(4)]
+        earlier, votes = Counter(seen[m] for m in marks if m in seen).most_common(1)[0] if any(m in seen for m in marks) else (None, 0)
+        fresh[d] = votes < 3
+        name = len(seen) if fresh[d] else earlier
+        for m in marks:
+            seen.setdefault(m, name)
     return fresh
 
 
@@ -151,26 +159,27 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return out, np.bincount(place, n, len(out)).astype(np.int64)
 
 
-def fit_crf(texts: list[str], toxic: np.ndarray, steps: int = 100, significance: float = 14.0, ridge: float = 0.05, clean_share: float = 0.04) -> dict:
-    """Weights, transitions and calibration from labelled texts.
+def fit_crf(column, toxic: np.ndarray, steps: int = 100, significance: float = 14.0, ridge: float = 0.05, folds: int = 25) -> dict:
+    """Weights, transitions and calibration from labelled texts, an Arrow column.
 
-    Near copies of a text count once in the token labels' statistics.  With no
-    toxic text, or no other one, every score is 0.
+    Near copies of a text count once in the token labels' statistics.  The
+    chain learns from all sentences: each step from those with a word that looks
+    toxic and from one of ``folds`` parts of the others, part after part.  With
+    no toxic text, or no other one, every score is 0.
     """
     none = np.zeros(0, np.uint64)
     model = {"weights": [Weights(none, np.zeros(0))] * 4, "bias": -8.0, "trans": np.zeros((2, 2)), "first": np.zeros(2), "slope": 1.0, "offset": -8.0}
-    column = pa.array(texts, pa.large_string())
 
     def each():
         """Slices of the texts, made anew for each walk: tokens take far more room than texts."""
         for i, j, data, offs in slices(column):
             yield toxic[i:j], Tokens(data, offs)
 
-    seen: set[int] = set()
+    seen: dict[tuple, int] = {}
     held = [[([none], [np.zeros(0, np.int64)]) for _ in range(4)] for _ in range(2)]  # by label and kind: features, documents
     size = np.zeros(2)
     for own_labels, t in each():
-        fresh = _fresh(t.words, seen)
+        fresh = _fresh(t.words, own_labels, seen)
         for y in (0, 1):
             docs = fresh & (own_labels == y)
             size[y] += docs.sum()
@@ -194,41 +203,44 @@ def fit_crf(texts: list[str], toxic: np.ndarray, steps: int = 100, significance:
         gain = n * (q * np.log(q / rate) + (1 - q) * np.log((1 - q) / (1 - rate)))
         use = (gain >= significance) & (q >= 0.95)
         marked.append(Weights(keys[use], np.ones(use.sum())))
-    # sentences with a token that looks toxic, and a share of the others
+    kinds, labels, restart, part = [[] for _ in range(4)], [], [], []
     rng = np.random.default_rng(11)
-    kinds, labels, restart = [[] for _ in range(4)], [], []
     for own_labels, t in each():
         if not len(t.begin):
             continue
         bad = own_labels[t.words.doc] == 1
         looks = np.any([m.of(f) > 0 for m, f in zip(marked, t.features)], axis=0)
-        y = looks & bad
         sent = np.cumsum(t.restart) - 1
-        hit = np.zeros(sent[-1] + 1, bool)
-        hit[sent[looks]] = True  # also those of other documents that look alike
-        use = (hit | (~bad[np.flatnonzero(t.restart)] & (rng.random(len(hit)) < clean_share)))[sent]
+        own_part = rng.integers(1, folds + 1, sent[-1] + 1)
+        own_part[sent[looks]] = 0  # also those of other documents that look alike
+        part.append(own_part[sent].astype(np.int8))
         for k in range(4):
-            kinds[k].append(t.features[k][use])
-        labels.append(y[use])
-        restart.append(t.restart[use])
-    if not labels:
-        return model
-    labels, restart = np.concatenate(labels).astype(float), np.concatenate(restart)
-    if not labels.any():
+            kinds[k].append(t.features[k])
+        labels.append(looks & bad)
+        restart.append(t.restart)
+    if not any(x.any() for x in labels):
         return model
-    keys, slots = zip(*(np.unique(np.concatenate(x), return_inverse=True) for x in kinds))
-    inner = np.flatnonzero(~restart)
-    seen_pairs = np.zeros((2, 2))
-    np.add.at(seen_pairs, (labels[inner - 1].astype(int), labels[inner].astype(int)), 1)
+    part, labels, restart = np.concatenate(part), np.concatenate(labels).astype(float), np.concatenate(restart)
+    keys, slots = [], []
+    for x in kinds:
+        own, place = np.unique(np.concatenate(x), return_inverse=True)
+        keys.append(own), slots.append(place.astype(np.int32))
+        x.clear()
+    rows_of = [np.flatnonzero(part == k) for k in range(folds + 1)]
     theta = [np.array(-6.0), np.zeros((2, 2)), np.zeros(2), *(np.zeros(len(x)) for x in keys)]
     mean = [np.zeros_like(x) for x in theta]
     square = [np.zeros_like(x) for x in theta]
     for step in range(1, steps + 1):
-        score = theta[0] + sum(theta[3 + k][slots[k]] for k in range(4))
-        p, pair = marginals(score, restart, theta[1], theta[2])
-        miss = labels - p
-        grads = [np.array(miss.sum()), seen_pairs - pair, np.array([-miss[restart].sum(), miss[restart].sum()])]
-        grads += [np.bincount(s, miss, len(x)) for s, x in zip(slots, keys)]
+        rows = np.concatenate([rows_of[0], rows_of[1 + step % folds]])
+        begins, own = restart[rows], [x[rows] for x in slots]
+        inner = np.flatnonzero(~begins)
+        y = labels[rows]
+        seen_pairs = np.bincount((2 * y[inner - 1] + y[inner]).astype(int), minlength=4).reshape(2, 2)
+        score = theta[0] + sum(theta[3 + k][own[k]] for k in range(4))
+        p, pair = marginals(score, begins, theta[1], theta[2])
+        miss = y - p
+        grads = [np.array(miss.sum()), seen_pairs - pair, np.array([-miss[begins].sum(), miss[begins].sum()])]
+        grads += [np.bincount(s, miss, len(x)) for s, x in zip(own, keys)]
         for k, (x, g, m, s) in enumerate(zip(theta, grads, mean, square)):
             g = g - ridge * x * (k > 0)
             m += 0.1 * (g - m)
@@ -257,39 +269,40 @@ def _calibrate(x: np.ndarray, y: np.ndarray, slope: float = 2.0, chance: float =
 
 
 def document_evidence(tokens: Tokens, model: dict):
-    """(log of expected toxic tokens per document, token marginals).
-
-    Tokens with a chance under ``FLOOR`` are none: a long text has many of them.
-    """
+    """(log of the tokens per document that two independent taggings both mark, token marginals)."""
     w = tokens.words
     p, _ = marginals(_score(tokens, model), tokens.restart, model["trans"], model["first"])
-    return np.log(np.bincount(w.doc, np.where(p >= FLOOR, p, 0), w.n_docs) + 1e-3), p
+    return np.log(np.bincount(w.doc, p * p, w.n_docs) + 1e-3), p
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, max_rows: int = 2_000, span_chance: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+def toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 2_000, max_bytes: int = 1 << 24) -> dict:
+    """The fitted model; ``toxicity_scores`` says from which rows."""
+    source, _ = with_private_names(docs.select(id_col, text_col), id_col, text_col)
+    sample = labelled_sample(source, labels, label_col, id_col, max_rows, max_bytes)
+    return fitted(sample, lambda rows: fit_crf(rows.column("__text"), rows.column("y").to_numpy())) or fit_crf(pa.array([], pa.string()), np.zeros(0, int))
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, max_rows: int = 2_000, max_bytes: int = 1 << 24, span_chance: float = 0.5, whole_rows: bool = False, model: dict | None = None) -> DataFrame:
     """(id, held_out, score, predicted, spans) for each row of ``docs``.
 
     Spans are code point ranges [start, end) of tokens whose chance of being
     toxic is ``span_chance`` or more, with the largest chance; neighbouring
     tokens of a sentence make one span.  Labels are learnt only from rows that are
-    not held out: the ``max_rows`` toxic ones and the ``max_rows`` others with
-    the smallest hashes of their ids.  Whole texts and nothing else enter the
-    scores.  Null and wordless texts get the score of no evidence; null labels
-    and ids are not learnt from; equal rows are scored alike.  ``carry`` names
-    columns of ``docs`` to return in place of the id.
+    not held out: of the toxic and of the other ones at most ``max_rows`` ids,
+    with ``max_bytes`` bytes of text, those with the smallest hashes.  Whole
+    texts and nothing else enter the scores.  Null and wordless texts get the
+    score of no evidence; null labels and ids are not learnt from; rows with
+    equal ids are each scored, and learnt from once (by the smallest text); equal
+    rows are scored alike; no rows give none.  With ``whole_rows``, the id's
+    place is taken by ``document``, a struct of all columns of ``docs``, so that
+    no name of theirs can clash with the results'.  A ``model`` of
+    ``toxicity_model`` may be given in place of the one that is learnt here.
     """
-    carried = list(carry or [])
-    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *(F.col(f"`{c}`") for c in carried))
-    fields = {f.name: f.dataType.simpleString() for f in source.schema}
-    marks = labels.select(F.col(id_col).alias("__id"), (F.col(label_col) == 1).cast("int").alias("y")).filter("y is not null and __id is not null")
-    marks = marks.filter(~held_out("__id")).groupBy("__id").agg(F.max("y").alias("y"))
-    order = [F.xxhash64("__id"), F.col("__id")]
-    picked = marks.filter("y = 1").orderBy(*order).limit(max_rows).unionByName(marks.filter("y = 0").orderBy(*order).limit(max_rows))
-    # at most 2 * max_rows ids and flags: a bounded broadcast
-    rows = source.select("__id", "__text").join(F.broadcast(picked), "__id").orderBy(*order, "__text").limit(2 * max_rows).select(F.col("__text").alias("text"), "y").toPandas()
-    model = fit_crf(rows["text"].fillna("").tolist(), rows["y"].to_numpy(dtype=int))
-    del rows
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in ("__id", *carried)) + ", __score double, __spans array<struct<start:int,end:int,chance:double>>"
+    source, names = with_private_names(docs if whole_rows else docs.select(id_col, text_col), id_col, text_col)
+    kept = [f for f in source.schema if whole_rows or f.name == "__id"]
+    model = model or toxicity_model(docs, labels, id_col, text_col, label_col, max_rows, max_bytes)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", __score double, __spans array<struct<start:int,end:int,chance:double>>"
+    span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("chance", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -297,26 +310,32 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                 t = Tokens(data, offs)
                 x, p = document_evidence(t, model)
                 score = 1 / (1 + np.exp(-np.clip(model["slope"] * x + model["offset"], -30, 30)))
-                spans = [[] for _ in range(j - i)]
-                hits = np.flatnonzero(p >= span_chance)
-                if len(hits):
-                    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                    for k in hits.tolist():
-                        d = int(t.words.doc[k])
-                        zero = chars[offs[d]]
-                        span = {"start": int(chars[t.begin[k]] - zero), "end": int(chars[t.end[k]] - zero), "chance": float(p[k]), "token": k}
-                        if spans[d] and spans[d][-1]["token"] == k - 1 and not t.restart[k]:
-                            spans[d][-1] |= {"end": span["end"], "token": k, "chance": max(spans[d][-1]["chance"], span["chance"])}
-                        else:
-                            spans[d].append(span)
-                fields = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("chance", pa.float64())])
-                got = pa.array([[{c: s[c] for c in ("start", "end", "chance")} for s in x] for x in spans], pa.list_(fields))
-                kept = [batch.column(c).slice(i, j - i) for c in ("__id", *carried)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(score), got], ["__id", *carried, "__score", "__spans"])
-
-    out = source.mapInArrow(run, schema)
+                own = [batch.column(f.name).slice(i, j - i) for f in kept]
+                spans = pa.array(toxic_spans(t, p, data, offs, span_chance), span_type)
+                yield pa.RecordBatch.from_arrays([*own, pa.array(score), spans], [*(f.name for f in kept), "__score", "__spans"])
+
+    out = source.mapInArrow(frugal(run), schema)
+    first = F.struct(*(F.col(own).alias(c) for c, own in names.items())).alias("document") if whole_rows else F.col("__id").alias(id_col)
     return out.select(
-        *([] if carry is not None else [F.col("__id").alias(id_col)]), *(F.col(f"`{c}`") for c in carried),
-        F.coalesce(held_out("__id"), F.lit(False)).alias("held_out"), F.col("__score").alias("score"),
+        first, F.coalesce(held_out("__id"), F.lit(False)).alias("held_out"), F.col("__score").alias("score"),
         (F.col("__score") >= threshold).cast("int").alias("predicted"), F.col("__spans").alias("spans"),
     )
+
+
+def toxic_spans(tokens: Tokens, p: np.ndarray, data: np.ndarray, offs: np.ndarray, least: float) -> list[list[dict]]:
+    """The spans of each document: runs of tokens of one sentence with a chance of ``least`` or more."""
+    w = tokens.words
+    spans: list[list[dict]] = [[] for _ in range(w.n_docs)]
+    hit = p >= least
+    if not hit.any():
+        return spans
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    goes_on = np.concatenate([[False], hit[:-1]]) & hit & ~tokens.restart
+    first = np.flatnonzero(hit & ~goes_on)
+    last = np.flatnonzero(hit & ~np.concatenate([goes_on[1:], [False]]))
+    chance = np.maximum.reduceat(np.where(hit, p, 0), first)
+    zero = chars[offs[w.doc[first]]]
+    rows = zip(w.doc[first].tolist(), (chars[tokens.begin[first]] - zero).tolist(), (chars[tokens.end[last]] - zero).tolist(), chance.tolist())
+    for d, start, end, most in rows:
+        spans[d].append({"start": start, "end": end, "chance": most})
+    return spans
