@@ -10,6 +10,7 @@ laid one after another, are the ids of the texts.
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import frugal
 from .textkernel import Words, slices
 
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
@@ -44,6 +46,14 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def pair_ranks(vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> dict:
+    """(rank, id of the whole) of each pair of ids that merges; the first listing counts."""
+    out: dict = {}
+    for rank, (a, b) in enumerate(merges):
+        out.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+    return out
+
+
 class ByteBpe:
     """Encoder and decoder of one tokenizer file; texts come as Arrow arrays."""
 
@@ -53,6 +63,8 @@ class ByteBpe:
         step = spec["pre_tokenizer"]
         if spec["model"]["type"] != "BPE" or spec["normalizer"] or step["type"] != "ByteLevel" or step["add_prefix_space"] or not step["use_regex"]:
             raise ValueError("only plain byte-level BPE files are supported")
+        if any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError("added tokens must be plain strings")
         alphabet = _byte_alphabet()
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         vocab = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t.encode() not in self.special or all(c in alphabet for c in t) and i not in self.special.values()}
@@ -60,9 +72,8 @@ class ByteBpe:
         merges = [tuple(bytes(alphabet[c] for c in x) for x in m) for m in merges]
         del spec
         self.bytes_of = [vocab.get(bytes([b]), -1) for b in range(256)]
-        self._fast = self._library(vocab, merges)
-        self._parts = None if self._fast else (vocab, merges)
-        self._ranks = None
+        self._fast = self._library(vocab) if self.ranks_decide(vocab, merges) else None
+        self.ranks = {} if self._fast else pair_ranks(vocab, merges)
         self.forced = np.ones((256, 256), bool)
         for token in vocab:
             for a, b in zip(token, token[1:]):
@@ -76,32 +87,67 @@ class ByteBpe:
         self.classes = _classes()
         self.cache: dict[int, bytes] = {}
 
-    def _library(self, vocab, merges):
-        """A merge loop in native code, where ids rank tokens as the merges do."""
+    def ranks_decide(self, vocab, merges) -> bool:
+        """Whether merging any neighbours that make a token, lowest id first, does the same as the listed merges.
+
+        It does if ids ascend with the merges and each merged token, put together
+        by lower merges of either kind alone, ends as the two parts of its listed
+        merge: no lower merge ever crossed the token's borders, so in a longer
+        text its bytes go through the same states, and no other two parts can
+        stand side by side when the token's turn comes.
+        """
+        order = [vocab[a + b] for a, b in merges]
+        if len(set(order)) < len(order) or order != sorted(order) or min(order, default=256) < 256 or sorted(self.bytes_of) != list(range(256)):
+            return False
+        merged = set(order)
+        for a, b in merges:
+            parts, own = [bytes([x]) for x in a + b], vocab[a + b]
+            while len(parts) > 2:
+                ids = [vocab.get(x + y, own) for x, y in zip(parts, parts[1:])]
+                low = min(ids)
+                if low >= own or low not in merged:
+                    return False
+                k = ids.index(low)
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            if parts != [a, b]:
+                return False
+        return True
+
+    def _library(self, vocab):
+        """A merge loop in native code, which goes by the ids of tokens."""
         try:
             import tiktoken
         except ImportError:
             return None
-        order = [vocab[a + b] for a, b in merges]
-        if order != sorted(order) or min(order, default=256) < 256 or sorted(self.bytes_of) != list(range(256)):
-            return None
         return tiktoken.Encoding("fragments", pat_str=r"[\s\S]+", mergeable_ranks=vocab, special_tokens={})._core_bpe
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one fragment: the pair of lowest rank merges first, leftmost on ties."""
-        if self._ranks is None:
-            vocab, merges = self._parts
-            self._ranks = {}
-            for rank, (a, b) in enumerate(merges):
-                self._ranks.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        """The ids of one fragment: the pair of lowest rank merges first, leftmost on ties.
+
+        Pairs wait in a heap and tokens in a linked list, so that long fragments
+        take little more than linear time.
+        """
         ids = [self.bytes_of[b] for b in piece]
-        while len(ids) > 1:
-            best = min(((self._ranks[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in self._ranks), default=None)
-            if best is None:
-                break
-            k = best[1]
-            ids[k : k + 2] = [self._ranks[ids[k], ids[k + 1]][1]]
-        return ids
+        after, before, n = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), len(ids)
+
+        def offer(k: int) -> None:
+            if k >= 0 and after[k] < n and (found := self.ranks.get((ids[k], ids[after[k]]))):
+                heapq.heappush(heap, (found[0], k, ids[k], ids[after[k]], found[1]))
+
+        heap: list = []
+        for k in range(n):
+            offer(k)
+        while heap:
+            _, k, left, right, whole = heapq.heappop(heap)
+            gone = after[k]
+            if ids[k] != left or gone >= n or ids[gone] != right:  # one of the two has merged since
+                continue
+            ids[k], ids[gone], after[k] = whole, None, after[gone]
+            if after[k] < n:
+                before[after[k]] = k
+            offer(before[k])
+            offer(k)
+        return [i for i in ids if i is not None]
 
     def _fragment(self, piece: bytes) -> bytes:
         ids = self._fast.encode_single_piece(piece) if self._fast else self.merge(piece)
@@ -157,24 +203,27 @@ class ByteBpe:
             return [b""] * docs
         marks, whole = self._specials(data, offs)
         begins = self.cuts(data, np.unique(np.concatenate([offs[:-1], *([m, e] for m, e, _ in marks)]).astype(np.int64)))
-        for m, e, _ in marks:  # a special string is one fragment
-            begins = begins[(begins <= m) | (begins >= e)]
+        if marks:  # a special string is one fragment
+            first, last = np.array([m for m, _, _ in marks]), np.array([e for _, e, _ in marks])
+            own = np.maximum(np.searchsorted(first, begins, "right") - 1, 0)
+            begins = begins[(begins <= first[own]) | (begins >= last[own])]
         begins = begins[begins < len(data)]
         ends = np.concatenate([begins[1:], [len(data)]])
         w = Words.__new__(Words)
         w.data, w._prefix = data, None
-        keys, first, inverse = np.unique(w.range_hash(begins, ends), return_index=True, return_inverse=True)
+        keys, sample, inverse = np.unique(w.range_hash(begins, ends), return_index=True, return_inverse=True)
         raw, found = data.tobytes(), []
         if len(self.cache) > CACHE:
             self.cache.clear()
-        for key, b, e in zip(keys.tolist(), begins[first].tolist(), ends[first].tolist()):
+        for key, b, e in zip(keys.tolist(), begins[sample].tolist(), ends[sample].tolist()):
             ids = self.cache.get(key)
             if ids is None:
                 ids = self.cache[key] = self._fragment(raw[b:e])
             found.append(ids)
-        for m, _, i in marks:
-            found.append(np.array([i], "<u4").tobytes())
-            inverse[np.searchsorted(begins, m)] = len(found) - 1
+        if marks:
+            kinds, kind = np.unique([i for _, _, i in marks], return_inverse=True)
+            inverse[np.searchsorted(begins, first)] = len(found) + kind
+            found += [np.array([i], "<u4").tobytes() for i in kinds.tolist()]
         sizes = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
         table = np.frombuffer(b"".join(found), "<u4")
         at = np.concatenate([[0], np.cumsum(sizes)])
@@ -186,17 +235,23 @@ class ByteBpe:
         return [packed[4 * a : 4 * b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
 
     def _specials(self, data, offs):
+        """(begin, end, id) of the special strings in the texts, the longest at each place, without overlap."""
         raw, marks = data.tobytes(), []
         for text, i in self.special.items():
             at = raw.find(text)
             while at >= 0:
-                d = int(np.searchsorted(offs, at, "right")) - 1
-                if at + len(text) <= offs[d + 1]:
-                    marks.append((at, at + len(text), i))
-                    at = raw.find(text, at + len(text))
-                else:
-                    at = raw.find(text, at + 1)
-        return sorted(marks), raw
+                marks.append((at, -len(text), i))
+                at = raw.find(text, at + 1)
+        if not marks:
+            return [], raw
+        marks.sort()
+        d = np.searchsorted(offs, [at for at, _, _ in marks], "right") - 1
+        out, free = [], 0
+        for (at, size, i), stop in zip(marks, offs[d + 1].tolist()):
+            if at >= free and at - size <= stop:
+                out.append((at, at - size, i))
+                free = at - size
+        return out, raw
 
     def encode(self, column) -> list[bytes]:
         out = []
@@ -251,7 +306,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
             for i, j, data, offs in slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(bpe.encode_slice(data, offs), pa.binary())], [id_col, "ids"])
 
-    return source.mapInArrow(run, f"`{id_col}` {source.dtypes[0][1]}, ids binary")
+    return source.mapInArrow(frugal(run), f"`{id_col}` {source.dtypes[0][1]}, ids binary")
 
 
 def bpe_decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -269,4 +324,4 @@ def bpe_decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids"
                 part = batch.slice(k, 1000)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bpe.decode(packed[k : k + 1000]), pa.string())], [*names, text_col])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)
