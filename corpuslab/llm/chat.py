@@ -39,13 +39,27 @@ def part_tokens(part: Column, patch: int, audio_rate: float, page_tokens: int) -
     return F.greatest(F.coalesce(tokens, F.lit(1)), F.lit(1)).cast("long")
 
 
+def joined_texts(parts: Column, is_text, kind) -> Column:
+    """Runs of text parts as one text each, other parts as placeholders: no control string can hide across a border."""
+    none = F.array().cast("array<struct<plain:boolean,text:string>>")
+
+    def visit(done: Column, p: Column) -> Column:
+        own = F.when(is_text(p), F.coalesce(p["text"], F.lit(""))).otherwise(F.concat(F.lit("<|"), kind(p), F.lit("|>")))
+        last = F.try_element_at(done, F.lit(-1))
+        joins = is_text(p) & F.coalesce(last["plain"], F.lit(False))
+        longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.lit(True).alias("plain"), F.concat(last["text"], own).alias("text"))))
+        return F.when(joins, longer).otherwise(F.concat(done, F.array(F.struct(is_text(p).alias("plain"), own.alias("text")))))
+
+    return F.aggregate(parts, none, visit)
+
+
 def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", parts_col: str | None = None, trained_role: str = "assistant", patch: int = 14, audio_rate: float = 25.0, page_tokens: int = 512) -> DataFrame:
     """One row per conversation: its id, formatted, loss_spans, attachments, expanded_tokens.
 
     Turns are ordered by turn, then role and text; a null turn comes first, equal
     rows follow each other.  ``parts_col``, of type ``PARTS``, holds a turn's
-    content parts; where it is unset or null the text column is the only part.  A
-    part of unknown type is kept as a placeholder ``<|attachment|>``.  Null roles
+    content parts; where it is unset or null the text column is the only part, and
+    neighbouring text parts are escaped as one text.  A part of unknown type is kept as a placeholder ``<|attachment|>``.  Null roles
     and texts are empty; the rows of a null id make one conversation.  loss_spans
     are code point ranges [start, end) of the trained role's bodies.  Other
     columns are ignored.  No rows give none.
@@ -55,7 +69,7 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     kind = lambda p: F.when(p["type"].isin("image", "audio", "document"), p["type"]).otherwise("attachment")
     is_text = lambda p: p["type"].isNull() | (p["type"] == "text")
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), given.alias("parts"))
-    body = F.array_join(F.transform("parts", lambda p: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind(p), F.lit("|>")))), "")
+    body = F.array_join(F.transform(joined_texts(F.col("parts"), is_text, kind), lambda p: F.when(p["plain"], escape(p["text"])).otherwise(p["text"])), "")
     found = F.filter(
         F.transform("parts", lambda p, k: F.when(~is_text(p), F.struct(F.col("turn"), k.alias("position"), kind(p).alias("kind"), p["ref"].alias("ref"), part_tokens(p, patch, audio_rate, page_tokens).alias("tokens")))),
         lambda a: a.isNotNull(),
