@@ -22,12 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, written
+from .shared import fresh_path, frugal, written
 
 # fixed values of the seekable format
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-INDEX = "record_id string, bundle string, frame int, offset long, length long, record_type string"
+INDEX = "record_id string, page_id long, bundle string, frame int, offset long, length long, record_type string"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -39,14 +39,14 @@ def _clean(value: str) -> str:
     return "".join(c if " " <= c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in value)
 
 
-def record_bytes(page_id, url: str | None, payload: bytes, digest: str, date: str, refers_to=None, revisit: bool = False) -> bytes:
+def record_bytes(record_id: str, url: str | None, payload: bytes, digest: str, date: str, refers_to=None, revisit: bool = False) -> bytes:
     """One WARC/1.1 record; a revisit has the block's HTTP header only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <{record_id}>",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {_clean(url or '')}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -137,7 +137,11 @@ def write_bundles(pages: DataFrame, folder: str | None = None, id_col: str = "pa
     Among rows of equal payloads of at least ``least_bytes`` bytes, those of the
     largest id are responses and the others revisits; all rows of smaller
     payloads are responses.  A null payload is empty, a null url too; a null id
-    is smaller than any other.  Rows that are equal throughout are written each.
+    is smaller than any other, and where no row of a payload has an id, all of
+    them are responses, as no revisit could name one.  Rows that are equal
+    throughout are written each.  A record's id is ``urn:page:`` and the page's
+    id; rows without an id, or that share one, have their bundle and place in it
+    added, so that no two records have the same.  Other columns are ignored.
     Bundles lie in ``folder``, one for each task, under names that no second
     attempt of the task shares; only the attempt that ended well is indexed.  No
     rows give bundles with a seek table alone.
@@ -148,27 +152,32 @@ def write_bundles(pages: DataFrame, folder: str | None = None, id_col: str = "pa
     source = source.withColumn("digest", F.sha1("payload"))
     marked = source.join(_duplicates(source, least_bytes), "digest", "left")
     revisit = (F.octet_length("payload") >= least_bytes) & F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    marked = marked.select("page_id", "url", "payload", "keeper", F.coalesce(revisit, F.lit(False)).alias("revisit"))
+    shared = written(source.groupBy("page_id").agg(F.count("*").alias("n")).filter("n > 1 and page_id is not null").select("page_id", F.lit(True).alias("shared")), "warc-shared")
+    marked = marked.join(shared, "page_id", "left")
+    plain = F.col("page_id").isNotNull() & F.col("shared").isNull()
+    marked = marked.select("page_id", "url", "payload", "keeper", F.coalesce(revisit, F.lit(False)).alias("revisit"), plain.alias("plain"))
 
     def write(batches: Iterator[pa.RecordBatch]):
         context = TaskContext.get()
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
         name = f"{path}/part-{context.partitionId():06d}-{uuid.uuid4().hex}.warc.zst"
-        writer = BundleWriter(store.open_output_stream(name, compression=None), frame_bytes)
+        writer, done = BundleWriter(store.open_output_stream(name, compression=None), frame_bytes), 0
         for batch in batches:
-            out = [[] for _ in range(6)]
-            for page_id, url, payload, keeper, again in zip(*(c.to_pylist() for c in batch.columns)):
+            out = [[] for _ in range(7)]
+            for page_id, url, payload, keeper, again, plain in zip(*(c.to_pylist() for c in batch.columns)):
                 payload = payload.encode()
-                record = record_bytes(page_id, url, payload, payload_digest(payload), date, keeper, again)
-                row = (f"urn:page:{page_id}", f"{folder}/{name.rpartition('/')[2]}", *writer.add(record), "revisit" if again else "response")
+                record_id = f"urn:page:{page_id}" if plain else f"urn:page:{page_id}:{name.rpartition('/')[2].partition('.')[0]}:{done}"
+                done += 1
+                record = record_bytes(record_id, url, payload, payload_digest(payload), date, keeper, again)
+                row = (record_id, page_id, f"{folder}/{name.rpartition('/')[2]}", *writer.add(record), "revisit" if again else "response")
                 for column, value in zip(out, row):
                     column.append(value)
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [x.split(" ")[0] for x in INDEX.split(", ")])
         writer.close()
 
-    return written(marked.mapInArrow(write, INDEX), "warc-index")
+    return written(marked.mapInArrow(frugal(write), INDEX), "warc-index")
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -179,7 +188,9 @@ def read_records(index: DataFrame) -> DataFrame:
     the payload read; a revisit's are in its headers.
     """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload string"
-    number = lambda urn: None if urn.endswith(":None>") else int(urn.strip("<>").rpartition(":")[2])
+    def number(urn: str) -> int | None:
+        page_id = urn.strip("<>").split(":")[2]
+        return None if page_id == "None" else int(page_id)
 
     def read(batches: Iterator[pa.RecordBatch]):
         bundle = reader = frame = data = None
@@ -205,4 +216,4 @@ def read_records(index: DataFrame) -> DataFrame:
     parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     # a few neighbouring frames go to a task together: a large bundle is read by several
     deal = index.repartition(parts, "bundle", F.floor(F.col("frame") / 8)).sortWithinPartitions("bundle", "frame", "offset")
-    return deal.select("bundle", "frame", "offset", "length").mapInArrow(read, schema)
+    return deal.select("bundle", "frame", "offset", "length").mapInArrow(frugal(read), schema)
