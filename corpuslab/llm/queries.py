@@ -19,10 +19,12 @@ from .warc import read_records, write_bundles
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens, ended by id 2."""
     return pack_documents(table(spark, sf_dir, "documents"), size=1024, end_id=2)
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe, formatted, and what is read back from that."""
     probe = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{probe}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -59,6 +61,7 @@ FROM sized GROUP BY conv_id
 
 
 def op3_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for each embedding whose id 20 divides."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", quantised(F.col("embedding")).alias("vector"))
     return top_k(vectors.filter("vec_id % 20 = 0"), vectors, k=20)
 
@@ -78,23 +81,48 @@ SELECT * FROM r WHERE rank <= 20
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents at a similarity of 0.9 on three-word shingles."""
     return jaccard_components(table(spark, sf_dir, "documents"), shingle_words=3, num=90, den=100)
 
 
+OP4_SQL = r"""
+WITH RECURSIVE toks AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM toks
+), grams AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM sets
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS root FROM sets UNION SELECT l.y, r.root FROM reach r JOIN links l ON l.x = r.doc_id
+), low AS (
+  SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, len(g) AS n_shingles, component_id FROM sets JOIN low USING (doc_id)
+"""
+
+
 def op5_suffix_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of repetition for all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repetition_rules(docs).drop("spans")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for all documents."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score, and toxic spans, for all documents."""
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to bundles and read back."""
     index = write_bundles(table(spark, sf_dir, "pages"), least_bytes=0)
     return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -116,10 +144,12 @@ FROM b
 
 
 def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pseudo-likelihood of all documents under a network trained on them."""
     return pseudo_likelihood(table(spark, sf_dir, "documents"))
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again."""
     decoded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents")))
     return decoded.select(
         "doc_id",
@@ -144,5 +174,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": OP2_SQL,
     "op3_maxscore_topk": OP3_SQL,
+    "op4_ngram_jaccard_join": OP4_SQL,
     "op7_warc_bundles": OP7_SQL,
 }
