@@ -13,42 +13,58 @@ from pyspark.sql import functions as F
 from corpuslab.llm.jaccard_join import jaccard_components
 from corpuslab.llm.packing import pack_documents
 from corpuslab.llm.quality import quality_scores
-from corpuslab.llm.shared import table, written
+from corpuslab.llm.shared import table, with_private_names, written
 from corpuslab.llm.toxicity import toxicity_scores
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be good."""
-    scored = quality_scores(docs, table(spark, sf_dir, "labels"), carry=docs.columns)
-    return scored.filter("predicted = 1").select(*docs.columns)
+    """Documents that the quality classifier predicts to be good.
+
+    Null and empty texts are scored too, and stay or go by their scores; rows
+    without an id and repeated rows are kept or dropped each by its own text; an
+    empty table stays empty; columns of any other name come through as they are.
+    """
+    scored = quality_scores(docs, table(spark, sf_dir, "labels"), whole_rows=True)
+    return scored.filter("predicted = 1").select("document.*")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted to be toxic."""
-    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"), carry=docs.columns)
-    return scored.filter("predicted = 0").select(*docs.columns)
+    """Documents that are not predicted to be toxic.
+
+    Null and empty texts hold no toxic token and stay; rows without an id and
+    repeated rows are judged each by its own text; an empty table stays empty;
+    columns of any other name come through as they are.
+    """
+    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"), whole_rows=True)
+    return scored.filter("predicted = 0").select("document.*")
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that of the smallest id, then of the smallest hash of its text.
 
     Rows are told apart by id and text; without an id, or beside another text of
-    the same id, a row that is a copy of nothing stays.  So does every row
-    without words.  The keys are written first, so that the join meets plain
-    shuffles, whose skewed partitions Spark can split.
+    the same id, a row that is a copy of nothing stays.  Of rows equal in both,
+    one stays.  So does every row without words.  No rows give none; columns of
+    any other name come through as they are.  The keys are written first, so
+    that the join meets plain shuffles, whose skewed partitions Spark can split.
     """
-    rows = jaccard_components(docs, shingle_words=5, num=4, den=5, row_keys=True).filter("group is not null")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("row_id"), "text_hash"))
+    source, names = with_private_names(docs, "doc_id", "text")
+    rows = jaccard_components(source, "__id", "__text", shingle_words=5, num=4, den=5, row_keys=True).filter("group is not null")
+    first = F.min(F.struct(F.col("__id").isNull().alias("no_id"), F.coalesce("__id", F.lit(0)).alias("row_id"), "text_hash"))
     keys = ["no_id", "row_id", "text_hash"]
     kept = written(rows.groupBy("group").agg(first.alias("row")).select("row.*"), "pipeline-kept")
-    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.filter(worded).select("*", F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("row_id"), F.xxhash64("text").alias("text_hash"))
+    worded = F.coalesce(F.col("__text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = source.filter(worded).select("*", F.col("__id").isNull().alias("no_id"), F.coalesce(F.col("__id").cast("long"), F.lit(0)).alias("row_id"), F.xxhash64("__text").alias("text_hash"))
     one = keyed.join(kept, keys, "left_semi").dropDuplicates(keys)
-    return one.select(*docs.columns).unionByName(docs.filter(~worded))
+    return one.select(source.columns).unionByName(source.filter(~worded)).select(*(F.col(own).alias(c) for c, own in names.items()))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all pieces in sequences of 1024 tokens."""
+    """The places of all pieces in sequences of 1024 tokens.
+
+    Null and empty texts have a piece of one token; rows without an id and
+    repeated rows are packed each on its own; no rows give none.
+    """
     return pack_documents(docs, size=1024, end_id=2)
 
 
