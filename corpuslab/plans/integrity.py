@@ -352,14 +352,21 @@ def z31(spark, d):
     return table(spark, d, "documents").select("doc_id", n.alias("tokens"), F.round(n / 8192.0, 6).alias("occupancy"))
 
 
-@query("z35_nearest_held_out", "SELECT a.vec_id, arg_max(b.vec_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS nearest FROM embeddings a, embeddings b WHERE b.vec_id < 20 AND a.vec_id >= 20 GROUP BY 1")
+@query("z35_nearest_held_out", """WITH e AS (SELECT vec_id, label, [x::DOUBLE for x in embedding] AS v FROM embeddings), x AS (SELECT label, generate_subscripts(v, 1) AS k, unnest(v) AS x FROM e WHERE label % 2 = 1),
+m AS (SELECT label, k, avg(x) AS x FROM x GROUP BY 1, 2), u AS (SELECT label, list(x ORDER BY k) AS v FROM m GROUP BY 1), n AS (SELECT label, [y / sqrt(list_inner_product(v, v)) for y in v] AS v FROM u)
+SELECT vec_id, arg_max(n.label, list_inner_product(e.v, n.v)) AS nearest FROM e, n WHERE e.label % 2 = 0 GROUP BY 1""")
 def z35(spark, d):
-    from ..operators.leakage import dot
+    """The held-out group (odd labels) whose centroid is nearest to each vector of the others; a centroid of few vectors is an error."""
+    from ..operators.leakage import dot, mean_vectors
 
-    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    held = F.broadcast(e.filter("vec_id < 20").select(F.col("vec_id").alias("h"), F.col("v").alias("u")))  # twenty centroids
-    near = e.filter("vec_id >= 20").crossJoin(held).groupBy("vec_id").agg(F.max_by("h", dot(F.col("v"), F.col("u"))).alias("nearest"))
-    return near
+    e = table(spark, d, "embeddings")
+    held = e.filter("label % 2 = 1")
+    thin = held.groupBy("label").agg(F.count("*").alias("n")).filter("n < 2").count()
+    if thin:
+        raise ValueError(f"{thin} held-out groups have too few vectors")
+    centroids = mean_vectors(held, "label", "embedding").select(F.col("label").alias("h"), F.col("mean").alias("u"))
+    rows = e.filter("label % 2 = 0").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return rows.crossJoin(centroids).groupBy("vec_id").agg(F.max_by("h", dot(F.col("v"), F.col("u"))).alias("nearest"))
 
 
 @query("z38_evidence_gate", "WITH v AS (SELECT user_id, max(ts) AS checked FROM events WHERE event_type = 'view' GROUP BY 1), i AS (SELECT user_id, max(ts) AS changed FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT user_id, coalesce(checked > changed, false) AS admitted FROM i LEFT JOIN v USING (user_id)")
@@ -417,7 +424,7 @@ def z36(spark, d):
 
     e = table(spark, d, "embeddings")
     means = mean_vectors(e, "label", "embedding").select(F.col("label").alias("l"), "mean")  # one row per label
-    rows = e.select("vec_id", "label", unit(F.transform("embedding", lambda x: x.cast("double"))).alias("v")).crossJoin(F.broadcast(means))
+    rows = e.select("vec_id", "label", unit(F.transform("embedding", lambda x: x.cast("double"))).alias("v")).crossJoin(means)
     c = dot(F.col("v"), F.col("mean"))
     rows = rows.select("vec_id", (F.col("label") == F.col("l")).alias("same"), c.alias("c"))
     return rows.groupBy("vec_id").agg(F.round(F.max(F.when(F.col("same"), F.col("c"))), 5).alias("own"), F.round(F.max(F.when(~F.col("same"), F.col("c"))), 5).alias("other"))
