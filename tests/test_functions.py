@@ -174,3 +174,10 @@ def test_char_error_rate_of_any_letters(spark, tmp_path):
     got = {(r.conv_id, r.turn): r.cer for r in QUERIES["m4_char_error_rate"](spark, str(tmp_path)).collect()}
     want = {(c, t): round(edit_distance(list(h), list(r)) / len(r), 6) for (c, _, r), (_, t, h) in zip(rows, rows[1:]) if c == _}
     assert got == want
+
+
+def test_stored_metrics_agree_with_their_recount(spark):
+    from corpuslab.plans.registry import QUERIES
+
+    rows = QUERIES["m12_recomputed_metrics"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.agrees for r in rows) and any(r.errors > 3 for r in rows)
