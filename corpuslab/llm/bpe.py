@@ -201,7 +201,7 @@ class ByteBpe:
         docs = len(offs) - 1
         if not len(data):
             return [b""] * docs
-        marks, whole = self._specials(data, offs)
+        marks = self._specials(data, offs)
         begins = self.cuts(data, np.unique(np.concatenate([offs[:-1], *([m, e] for m, e, _ in marks)]).astype(np.int64)))
         if marks:  # a special string is one fragment
             first, last = np.array([m for m, _, _ in marks]), np.array([e for _, e, _ in marks])
@@ -243,7 +243,7 @@ class ByteBpe:
                 marks.append((at, -len(text), i))
                 at = raw.find(text, at + 1)
         if not marks:
-            return [], raw
+            return []
         marks.sort()
         d = np.searchsorted(offs, [at for at, _, _ in marks], "right") - 1
         out, free = [], 0
@@ -251,7 +251,7 @@ class ByteBpe:
             if at >= free and at - size <= stop:
                 out.append((at, at - size, i))
                 free = at - size
-        return out, raw
+        return out
 
     def encode(self, column) -> list[bytes]:
         out = []

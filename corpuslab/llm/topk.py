@@ -88,7 +88,7 @@ class Shard:
         return *joined, np.concatenate(bars) if bars else least
 
     def _chunk(self, own, queries, least, k):
-        n, width = queries.shape
+        n = len(queries)
         order = np.argsort(-np.abs(queries), axis=1, kind="stable")
         ranked = np.take_along_axis(queries, order, axis=1)
         squares = np.concatenate([ranked.astype(float) ** 2, np.zeros((n, 1))], axis=1)
@@ -215,7 +215,6 @@ def top_k(queries: DataFrame, documents: DataFrame, id_col: str = "vec_id", vect
     and blocks of about ``query_rows`` queries; a task holds one shard against
     one block.
     """
-    spark = documents.sparkSession
     ok = F.col("id").isNotNull() & F.col("vector").isNotNull()
     rows = [d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).filter(ok) for d in (documents, queries)]
     shards, blocks = (max(1, math.ceil(d.count() / n)) for d, n in zip(rows, (shard_rows, query_rows)))
