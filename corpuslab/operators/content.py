@@ -2,33 +2,54 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import reduce
+from itertools import chain
+from operator import and_
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import words
-
+from ..functions.text import BLANK
 
-def gram_counts(df: DataFrame, key: list[str], tokens: Column, sizes: range) -> DataFrame:
-    """(key, n, gram, count) of the word n-grams of several sizes."""
-    df = df.select(*key, tokens.alias("tokens"))  # in a step of their own: inside the lambdas they would be cut anew for each gram
-    tokens = F.col("tokens")
+WORD = re.compile(BLANK.replace("[", "[^"))
 
-    def of_size(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1)))
-        rows = F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, F.lit(n)), " ").alias("gram")))
-        return F.when(F.size(tokens) >= n, rows).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
 
-    every = F.flatten(F.array(*(of_size(n) for n in sizes)))
-    return df.select(*key, F.inline(every)).groupBy(*key, "n", "gram").agg(F.count("*").alias("count"))
+def excess_rate(refs: list[str], hyps: list[str], sizes: range) -> float | None:
+    """Mean over n of the share of repeats in the hypothesis beyond the reference's own; null without any n-gram."""
+    given, own = ([WORD.findall(t) for t in side] for side in (refs, hyps))
+    count = lambda texts, n: Counter(chain.from_iterable(zip(*(t[k:] for k in range(n))) for t in texts))
+    rates, last = [], None
+    for n in sorted(sizes):
+        positions = sum(max(0, len(t) - n + 1) for t in own)
+        if not positions:
+            break
+        beyond = 0
+        if last is None or last:  # where no shorter gram is repeated, no longer one is
+            last = {g: c for g, c in count(own, n).items() if c > 1}
+            theirs = count(given, n) if last else {}
+            beyond = sum(max(0, c - max(1, theirs.get(g, 0))) for g, c in last.items())
+        rates.append(beyond / positions)
+    return sum(rates) / len(rates) if rates else None
 
 
 def excess_repetition(df: DataFrame, key: list[str], ref: str, hyp: str, sizes: range = range(3, 9)) -> DataFrame:
-    """Repeats in the hypothesis beyond the reference's own, by n and on average over n with positions."""
-    r = gram_counts(df, key, words(F.col(ref)), sizes).withColumnRenamed("count", "given")
-    h = gram_counts(df, key, words(F.col(hyp)), sizes)
-    beyond = F.greatest(F.lit(0), (F.col("count") - 1) - F.greatest(F.lit(0), F.coalesce("given", F.lit(0)) - 1))
-    per_n = h.join(r, [*key, "n", "gram"], "left").groupBy(*key, "n").agg((F.sum(beyond) / F.sum("count")).alias("rate"))
-    return per_n.groupBy(*key).agg(F.avg("rate").alias("excess_repetition"))
+    """Repeats in the hypothesis beyond the reference's own, by n and on average over n with positions.
+
+    The texts of a key meet, and not their n-grams, which are many times as large:
+    these are counted for a key at a time and go to no shuffle, join or broadcast.
+    """
+
+    @F.arrow_udf(T.DoubleType())
+    def rate(refs: pa.Array, hyps: pa.Array) -> pa.Array:
+        return pa.array([excess_rate(r.as_py(), h.as_py(), sizes) for r, h in zip(refs, hyps)], pa.float64())
+
+    known = reduce(and_, (F.col(c).isNotNull() for c in key))  # rows of no key have no reference in common
+    texts = df.groupBy(*key).agg(F.collect_list(F.when(known, F.col(ref))).alias("refs"), F.collect_list(hyp).alias("hyps"))
+    return texts.select(*key, rate("refs", "hyps").alias("excess_repetition")).filter("excess_repetition is not null")
 
 
 def final_status(gen_status: Column, stop_reason: Column, usable: Column, end_coverage: Column, over_floor: Column, floor_available: Column, excess: Column, run: Column, coverage_min=0.95, margin=0.30, excess_min=0.20, run_min=3) -> Column:

@@ -13,7 +13,7 @@ from corpuslab.operators import aggregates as A
 from corpuslab.operators import paired, ranks, selection, sequences
 from corpuslab.operators import statistics as S
 from corpuslab.operators.clustering import average_linkage
-from corpuslab.operators.content import final_status, flow_status
+from corpuslab.operators.content import excess_repetition, final_status, flow_status
 from corpuslab.operators.funnel import require, violations
 from corpuslab.operators.leakage import gram_sets, gram_table, max_jaccard, shared_grams
 from corpuslab.sources import tables
@@ -295,3 +295,14 @@ def test_numbers_and_running_sums(spark):
         done += v
     assert ranks.numbered(df.limit(0), F.col("k"), "n").count() == 0
     assert sorted(r.n for r in ranks.numbered(df, -F.col("k"), "n").collect()) == list(range(500))
+
+
+def test_excess_repetition_brings_no_grams_together(spark):
+    rows = [(1, 1, "a b c", "a b c a b c a b c"), (1, 1, "a b c\ta b c", "x"), (1, 2, None, "a b c a b c"), (2, 1, "a", "a b"), (None, 1, "a b c a b c", "a b c a b c")]
+    out = excess_repetition(spark.createDataFrame(rows, "k int, t int, r string, h string"), ["k", "t"], "r", "h")
+    got = {(r.k, r.t): r.excess_repetition for r in out.collect()}
+    # (1, 1): "a b c" is there three times, and three times in both references; twice or once more with other n-grams
+    three, four, five, six = (2 - 2 + 1 - 0 + 1 - 0) / 7, (1 + 1 + 1) / 6, (1 + 1) / 5, 1 / 4
+    assert got == {(1, 1): pytest.approx((three + four + five + six) / 6), (1, 2): pytest.approx(1 / 16), (None, 1): pytest.approx(1 / 16)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan  # neither side's n-grams go to a join or the driver
