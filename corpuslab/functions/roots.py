@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .disfluency import clean_pieces, density, finished, lower_words, lowered
 
@@ -19,10 +22,12 @@ SCHEMA = "reason string, first_group int, n_groups int, window_start double, n_w
 
 def first_clean(groups: list[tuple[float, float, str]], opening: re.Pattern, look: float, latest: float) -> int | None:
     """The first group, up to a time, from which on the next seconds hold no opening."""
-    for k, (start, _, _) in enumerate(groups):
+    for k, (start, _, _) in enumerate(groups):  # in the order of their starts
         if start > latest:
             return None
-        ahead = [text for s, e, text in groups if s >= start and e <= start + look]
+        if k and groups[k - 1][0] == start:  # the same seconds again
+            continue
+        ahead = [text for _, e, text in groups[k:] if e <= start + look]
         if ahead and not opening.search(" ".join(ahead).lower().replace("ё", "е")):
             return k
     return None
@@ -67,14 +72,18 @@ def prepare(groups: list[tuple[float, float, str]], opening: str, window: float,
 
 def prepared_roots(groups: DataFrame, key: str, window: float, look: float, latest: float, opening: str, table: dict[str, str] | None = None, forbid_digits: bool = True, forbid_latin: bool = True) -> DataFrame:
     """A row per key of ``groups`` (key, start, end, text): the reason why it is no root, or its text and counts."""
-    names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+    kind = T._parse_datatype_string(SCHEMA)
     known = {k.lower(): v for k, v in (table or {}).items()}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.dropna(subset=["start", "end"]).sort_values(["start", "end", "text"])
-        triples = list(zip(rows["start"], rows["end"], rows["text"].fillna("")))
-        got = prepare(triples, opening, window, look, latest, known, forbid_digits, forbid_latin)
-        return pd.DataFrame([{key: pdf[key].iloc[0], **{c: got.get(c) for c in names}}])
+    def root(rows: list[dict]) -> dict:
+        timed = [(r["start"], r["end"], r["text"]) for r in rows if not any(x is None or x != x for x in (r["start"], r["end"]))]
+        timed.sort(key=lambda r: (*r[:2], r[2] is None, r[2] or ""))
+        return prepare([(s, e, text or "") for s, e, text in timed], opening, window, look, latest, known, forbid_digits, forbid_latin)
 
-    kind = groups.schema[key].dataType.simpleString()
-    return groups.select(key, "start", "end", "text").groupBy(key).applyInPandas(run, f"`{key}` {kind}, {SCHEMA}")
+    @F.arrow_udf(kind)
+    def roots(rows: pa.Array) -> pa.Array:
+        return pa.array([root(r.as_py()) for r in rows], to_arrow_type(kind))
+
+    # many keys go to Python at once: a group by itself costs some milliseconds there
+    own = groups.groupBy(key).agg(F.collect_list(F.struct("start", "end", "text")).alias("rows"))
+    return own.select(key, roots("rows").alias("root")).select(key, "root.*")

@@ -169,4 +169,4 @@ def z42(spark, d):
 def z30(spark, d):
     """Conversations as roots, a turn a group of ten seconds: windowed, rejected or cleaned."""
     groups = table(spark, d, "conversations").select("conv_id", (F.col("turn") * 10.0).alias("start"), (F.col("turn") * 10.0 + 9).alias("end"), "text")
-    return prepared_roots(groups, "conv_id", window=60.0, look=20.0, latest=30.0, opening=r"\b(hello|welcome)\b", forbid_latin=False)
+    return prepared_roots(spread(groups, "conv_id"), "conv_id", window=60.0, look=20.0, latest=30.0, opening=r"\b(hello|welcome)\b", forbid_latin=False)

@@ -9,7 +9,7 @@ import pytest
 from corpuslab.functions.alignment import alignment, content_metrics, distances, repetition
 from corpuslab.functions.disfluency import clean, clean_pieces, density, finished, lowered, scan
 from corpuslab.functions.numbers import cardinal, spoken
-from corpuslab.functions.roots import prepare
+from corpuslab.functions.roots import prepare, prepared_roots
 from corpuslab.functions.text import _english, _lenient, _strict, chunks
 
 W = "one two three four five six seven eight nine ten".split()
@@ -181,3 +181,22 @@ def test_stored_metrics_agree_with_their_recount(spark):
 
     rows = QUERIES["m12_recomputed_metrics"](spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r.agrees for r in rows) and any(r.errors > 3 for r in rows)
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    began, n = time.process_time(), 20_000
+    text, count = lowered("Рак рак " * n, {"рак"})
+    assert (text, count) == ("Рак рак " + "рак рак " * (n - 1), n - 1)
+    pieces, edits = clean_pieces(["5 гм " * n])
+    assert len(edits) == n and "гм" not in pieces[0]
+    assert time.process_time() - began < 15  # a look back over all the text, for each word, took minutes
+
+
+def test_prepared_roots_rows(spark):
+    rows = [(1, 5.0, 9.0, "Ну, это дом"), (1, 0.0, 4.0, "Привет"), (1, None, 4.0, "нет"), (1, float("nan"), 4.0, "нет"), (2, None, 1.0, "дом"), (3, 0.0, 4.0, None), (None, 0.0, 4.0, "дом")]
+    out = prepared_roots(spark.createDataFrame(rows, "k int, start double, end double, text string"), "k", window=20.0, look=30.0, latest=60.0, opening="привет")
+    got = {r.k: (r.reason, r.first_group, r.n_groups, r.text) for r in out.collect()}
+    assert got == {1: ("", 1, 1, "Это дом"), 2: ("no_timestamps", None, None, None), 3: ("", 0, 1, ""), None: ("", 0, 1, "Дом")}
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()  # it took milliseconds for each key
