@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from .numbers import spoken
 
 BLANK = r"[ \t\n\x0B\f\r]+"
+NOT_BLANK = r"[^ \t\n\x0B\f\r]"
 APOSTROPHES = "'’‘`´ʼ"  # fixed values: characters that English normalisation deletes
 
 

@@ -3,31 +3,55 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
 
 HELD_BITS = 1 << 20  # of the map that tells which grams the held-out side may have
+HELD_WORDS = 1 << 20  # whose shingles a task makes at a time
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def distinct_shingles(words: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts given as one array of word hashes and their lengths: distinct shingles, text after text, and how many each has."""
+    starts = np.cumsum(lengths) - lengths
+    many, short = words, {}
+    for k in range(n):  # each shingle's hash takes in the word k places on
+        if k:
+            many = (many[:-1] ^ (many[:-1] >> np.uint64(32))) * MIX + words[k:]
+        if k < n - 1:
+            ended = np.flatnonzero(lengths == k + 1)
+            short |= zip(ended.tolist(), many[starts[ended]])
+    own = [np.unique(many[s : s + c - n + 1]) if c >= n else np.array([short[i]] if c else [], np.uint64) for i, (s, c) in enumerate(zip(starts.tolist(), lengths.tolist()))]
+    return np.concatenate([np.zeros(0, np.uint64), *own]), np.array([len(x) for x in own], np.int64)
 
 
 def shingles(tokens: Column, n: int) -> Column:
     """Distinct n-word shingles as 64-bit hashes; a shorter text is one shingle, an empty one has none.
 
-    ``tokens`` should be a column, not an expression: it is read several times.
+    Word hashes go to numpy, which holds a bounded number of them besides the batch.
     """
-    hashes = F.transform(tokens, lambda w: F.xxhash64(w))
-    count = F.size(tokens) - (n - 1)
-    many = F.slice(hashes, F.lit(1), F.greatest(count, F.lit(0)))
-    for k in range(1, n):  # each shingle's hash takes in the word k places on
-        many = F.zip_with(many, F.slice(hashes, F.lit(k + 1), F.greatest(count, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    whole = F.array(F.aggregate(hashes, F.size(tokens).cast("long"), lambda s, x: F.xxhash64(x, s)))
-    return F.array_distinct(F.when(count > 0, many).when(F.size(tokens) > 0, whole).otherwise(F.array().cast("array<bigint>")))
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def of(rows: pa.Array) -> pa.Array:
+        lengths = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words, ends = rows.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(lengths)
+        parts, at = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+        while at < len(lengths):
+            begin = ends[at] - lengths[at]
+            stop = max(at + 1, int(np.searchsorted(ends, begin + HELD_WORDS, "right")))
+            parts.append(distinct_shingles(words[begin : ends[stop - 1]], lengths[at:stop], n))
+            at = stop
+        found, counts = (np.concatenate(x) for x in zip(*parts))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(found.view(np.int64)))
+
+    return of(F.transform(tokens, lambda w: F.xxhash64(w)))
 
 
 def gram_sets(df: DataFrame, key: str, tokens: Column, n: int) -> DataFrame:
     """(key, size, grams) with the distinct shingles of each text."""
-    # tokens in a step of their own: inside the lambdas they would be cut anew for each shingle
-    sets = df.select(F.col(key), tokens.alias("tokens")).select(key, shingles(F.col("tokens"), n).alias("grams"))
+    sets = df.select(F.col(key), shingles(tokens, n).alias("grams"))
     return sets.select(key, F.size("grams").alias("size"), "grams")
 
 

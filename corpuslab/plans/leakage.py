@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import NOT_BLANK, words
 from ..operators.clustering import average_linkage
 from ..operators.leakage import dot, gram_sets, gram_table, group_similarity, max_jaccard, mean_vectors, shared_grams, shingles
 from ..operators.sequences import top_per_group
@@ -38,9 +38,9 @@ def j7(spark, d):
 
 @query("l1_shingle_counts", GRAMS + " SELECT id AS doc_id, count(*) AS n_grams FROM grams WHERE side = 'd' GROUP BY 1")
 def l1_counts(spark, d):
-    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    tokens = docs.select("doc_id", words(F.lower("text")).alias("tokens"))
-    return tokens.select("doc_id", F.size(shingles(F.col("tokens"), 8)).alias("n_grams")).filter("n_grams > 0")
+    # those without words go first: a filter on the counts would be moved below the exchange, and count all texts once more
+    worded = table(spark, d, "documents").select("doc_id", "text").filter(F.col("text").rlike(NOT_BLANK))
+    return spread(worded, "doc_id").select("doc_id", F.size(shingles(words(F.lower("text")), 8)).alias("n_grams"))
 
 
 @query("l2_exact_copies", """

@@ -15,7 +15,7 @@ from corpuslab.operators import statistics as S
 from corpuslab.operators.clustering import average_linkage
 from corpuslab.operators.content import excess_repetition, final_status, flow_status
 from corpuslab.operators.funnel import require, violations
-from corpuslab.operators.leakage import gram_sets, gram_table, max_jaccard, shared_grams
+from corpuslab.operators.leakage import distinct_shingles, gram_sets, gram_table, max_jaccard, shared_grams, shingles
 from corpuslab.sources import tables
 from corpuslab.streaming.windows import run_to_end, sessions, state_folder, tumbling, with_event_time
 
@@ -306,3 +306,23 @@ def test_excess_repetition_brings_no_grams_together(spark):
     assert got == {(1, 1): pytest.approx((three + four + five + six) / 6), (1, 2): pytest.approx(1 / 16), (None, 1): pytest.approx(1 / 16)}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan  # neither side's n-grams go to a join or the driver
+
+
+def test_shingles_of_many_texts_at_once(spark, monkeypatch):
+    random.seed(5)
+    texts = [[random.choice("abc") for _ in range(random.choice([0, 1, 2, 3, 4, 30]))] for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(200, None)], "i int, t array<string>")
+    got = {r.i: r.g for r in df.select("i", shingles(F.col("t"), 3).alias("g")).collect()}
+    want = [{tuple(t[k : k + 3]) for k in range(max(1, len(t) - 2))} - {()} for t in texts] + [set()]
+    assert [len(got[i]) for i in range(201)] == [len(x) for x in want]
+    named = {(g, tuple(sorted(got[i]))) for i, g in enumerate(map(frozenset, want))}
+    assert len(named) == len({g for g, _ in named}) == len({h for _, h in named})  # equal sets, equal hashes
+    words, counts = distinct_shingles(np.zeros(0, np.uint64), np.zeros(3, np.int64), 8)
+    assert len(words) == 0 and counts.tolist() == [0, 0, 0]
+
+
+def test_shingle_counts_are_made_once(spark):
+    from corpuslab.plans.registry import QUERIES
+
+    plan = QUERIES["l1_shingle_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("xxhash64(") == 1  # they were also made below the exchange, for a filter, and word hashes anew for each place
