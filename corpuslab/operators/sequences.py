@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -117,23 +119,34 @@ def voiced_windows(df: DataFrame, group: str, start: str, end: str, size: float,
     A last window that ends with the timeline is added where more than ``tail``
     of it would be left out.  Each window has its place on that timeline and the
     times it lies between; a group with less than ``size`` in all has none.
-    Places are mapped back by a running look at the interval before them, so no
-    window is compared with all intervals.
+    Each merged interval makes the beginnings and the ends of windows that lie in
+    it: no window is compared with all intervals, and a group's rows are sorted
+    once.  Rows without a group, a start or an end take no part.
     """
-    by = Window.partitionBy(group).orderBy(start)
-    spans = merge_intervals(df.select(group, start, end), group, start, end)
-    spans = spans.select(group, start, (F.col(end) - F.col(start)).alias("length"))
-    spans = spans.withColumn("at", F.coalesce(F.sum("length").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    totals = spans.groupBy(group).agg(F.max(F.col("at") + F.col("length")).alias("total")).filter(F.col("total") >= size)
-    last = F.floor((F.col("total") - size) / hop)
-    regular = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: k * F.lit(float(hop)))
-    rest = F.when(F.col("total") - (last * F.lit(float(hop)) + size) > tail, F.array(F.col("total") - size)).otherwise(F.array().cast("array<double>"))
-    places = totals.select(group, F.explode(F.concat(regular, rest)).alias("voiced_start"))
+    rows = df.select(F.col(group).alias("group"), F.col(start).alias("start"), F.col(end).alias("end")).filter("group is not null and start is not null and end is not null")
+    by, every = Window.partitionBy("group").orderBy("start", "end"), Window.partitionBy("group")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("reach", F.max("end").over(before)).withColumn("until", F.max("end").over(every))
+    # an interval begins past all ends before it, and ends with the last of those that the next one is past
+    spans = rows.filter("reach is null or start > reach").withColumn("length", F.coalesce(F.lead("reach").over(by), "until") - F.col("start"))
+    spans = spans.withColumn("at", F.coalesce(F.sum("length").over(before), F.lit(0.0)))
+    spans = spans.withColumn("next", F.coalesce(F.lead("at").over(by), F.lit(float("inf")))).withColumn("total", F.max(F.col("at") + F.col("length")).over(every))
+    spans = spans.filter(F.col("total") >= size).withColumn("last", F.floor((F.col("total") - size) / hop))
+
+    def inside(ahead: float, of: Callable[[Column], Column]) -> Column:
+        """Windows with the place ``ahead`` of their beginnings in the interval, as ``of`` tells exactly."""
+        none = F.array().cast("array<double>")
+        near = lambda at: F.floor((at - ahead) / hop)
+        first, to = F.greatest(near(F.col("at")) - 1, F.lit(0)), F.when(F.col("next") == float("inf"), F.col("last")).otherwise(F.least(near(F.col("next")) + 1, F.col("last")))
+        regular = F.when(first <= to, F.transform(F.sequence(first, to), lambda k: k * F.lit(float(hop)))).otherwise(none)
+        rest = F.when(F.col("total") - (F.col("last") * F.lit(float(hop)) + size) > tail, F.array(F.col("total") - size)).otherwise(none)
+        return F.filter(F.concat(regular, rest), lambda p: of(p + F.lit(float(ahead))))
+
+    begun = inside(0.0, lambda p: (p >= F.col("at")) & (p < F.col("next")))
     # at one place, a window ends before the next interval begins, and another window begins in it
-    marks = spans.select(group, F.col("at").alias("place"), F.lit(0).alias("kind"), (F.col(start) - F.col("at")).alias("shift"), F.lit(None).cast("double").alias("voiced_start"))
-    for kind, place in ((1, F.col("voiced_start")), (-1, F.col("voiced_start") + size)):
-        marks = marks.unionByName(places.select(group, place.alias("place"), F.lit(kind).alias("kind"), F.lit(None).cast("double").alias("shift"), "voiced_start"))
-    before = Window.partitionBy(group).orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    times = marks.withColumn("time", F.col("place") + F.last("shift", True).over(before)).filter("kind <> 0")
+    ended = inside(float(size), lambda p: (p > F.col("at")) & (p <= F.col("next")))
+    timed = lambda places, ahead, kind: F.transform(places, lambda p: F.struct(p.alias("voiced_start"), F.lit(kind).alias("kind"), (F.col("start") + p + F.lit(float(ahead)) - F.col("at")).alias("time")))
+    marks = timed(F.col("begun"), 0.0, 1), timed(F.col("ended"), size, -1)
+    times = spans.select("group", "start", "at", begun.alias("begun"), ended.alias("ended")).select("group", F.inline(F.concat(*marks)))
     side = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("time")))
-    return times.groupBy(group, "voiced_start").agg(side(1).alias(start), side(-1).alias(end))
+    return times.groupBy("group", "voiced_start").agg(side(1).alias(start), side(-1).alias(end)).withColumnRenamed("group", group)

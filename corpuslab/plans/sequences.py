@@ -249,4 +249,5 @@ SELECT w.user_id, round(p, 3) AS voiced_start, round(b.start + p - b.off, 3) AS
 JOIN a c ON w.user_id = c.user_id AND c.off < p + 600 AND p + 600 <= c.off + c.length + 1e-6 QUALIFY row_number() OVER (PARTITION BY w.user_id, p ORDER BY c.off DESC) = 1""")
 def w8(spark, d):
     w = voiced_windows(event_spans(spark, d), "user_id", "start", "end", 600.0, 300.0, 60.0)
-    return w.select("user_id", F.round("voiced_start", 3).alias("voiced_start"), F.round("start", 3).alias("t_start"), F.round("end", 3).alias("t_end"))
+    thousandths = lambda c: F.round(F.col(c) * 1000) / 1000  # noqa: E731  the product is rounded, as in SQL: it can be a tie where the decimals are none
+    return w.select("user_id", thousandths("voiced_start").alias("voiced_start"), thousandths("start").alias("t_start"), thousandths("end").alias("t_end"))

@@ -326,3 +326,26 @@ def test_shingle_counts_are_made_once(spark):
 
     plan = QUERIES["l1_shingle_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("xxhash64(") == 1  # they were also made below the exchange, for a filter, and word hashes anew for each place
+
+
+def test_voiced_windows_sort_a_group_once(spark):
+    random.seed(3)
+    spans = [(g, s := random.uniform(0, 900), s + random.uniform(0, 40)) for g in range(6) for _ in range(40)] + [(9, 0.0, 50.0), (9, 5.0, None), (9, None, 7.0), (9, 60.0, 110.0), (None, 0.0, 500.0), (7, 0.0, 99.0)]
+    out = sequences.voiced_windows(spark.createDataFrame(spans, "g int, start double, end double"), "g", "start", "end", 100.0, 50.0, 20.0)
+    want = {}
+    for g in (0, 1, 2, 3, 4, 5, 9):
+        merged = []
+        for s, e in sorted((s, e) for h, s, e in spans if h == g and s is not None and e is not None):
+            if merged and s <= merged[-1][1]:
+                merged[-1][1] = max(e, merged[-1][1])
+            else:
+                merged.append([s, e])
+        offs = np.concatenate([[0.0], np.cumsum([e - s for s, e in merged])])
+        last = int((offs[-1] - 100) // 50)
+        for p in [50.0 * k for k in range(last + 1)] + [offs[-1] - 100] * bool(offs[-1] - (last * 50 + 100) > 20):
+            a, b = np.searchsorted(offs[1:-1], p, "right"), np.searchsorted(offs[1:-1], p + 100, "left")
+            want[g, round(p, 6)] = (round(merged[a][0] + p - offs[a], 6), round(merged[b][0] + p + 100 - offs[b], 6))
+    assert {(r.g, round(r.voiced_start, 6)): (round(r.start, 6), round(r.end, 6)) for r in out.collect()} == want
+    assert want[9, 0.0] == (0.0, 110.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Sort [") == 1 and "Union" not in plan  # a task held its rows once for each of four sorts
