@@ -200,3 +200,23 @@ def test_prepared_roots_rows(spark):
     got = {r.k: (r.reason, r.first_group, r.n_groups, r.text) for r in out.collect()}
     assert got == {1: ("", 1, 1, "Это дом"), 2: ("no_timestamps", None, None, None), 3: ("", 0, 1, ""), None: ("", 0, 1, "Дом")}
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()  # it took milliseconds for each key
+
+
+def test_rows_of_a_batch_are_turned_a_few_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corpuslab.functions.alignment import word_alignment
+    from corpuslab.functions.disfluency import disfluencies
+
+    n = 3_000
+    a, b = pa.array(["a b " * 20, None] * (n // 2)), pa.array(["a x " * 20] * n)
+    text = pa.array(["ну " * 20, None, "дом"] * (n // 3))
+    for of, columns, want in ((word_alignment.func, (a, b), [40, 1]), (disfluencies.func, (text,), [20, 0, 0])):
+        tracemalloc.start()
+        out = of(*columns)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [len(x) for x in out.to_pylist()] == want * (n // len(want))
+        assert most < 4e6  # lists of dictionaries for all rows at once took over 20 MB
