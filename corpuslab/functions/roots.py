@@ -84,6 +84,6 @@ def prepared_roots(groups: DataFrame, key: str, window: float, look: float, late
     def roots(rows: pa.Array) -> pa.Array:
         return pa.array([root(r.as_py()) for r in rows], to_arrow_type(kind))
 
-    # many keys go to Python at once: a group by itself costs some milliseconds there
+    # many keys go to Python at once, and not each as a frame of its own
     own = groups.groupBy(key).agg(F.collect_list(F.struct("start", "end", "text")).alias("rows"))
     return own.select(key, roots("rows").alias("root")).select(key, "root.*")
